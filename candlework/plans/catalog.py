@@ -1 +1,8 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Every query of the library by name, with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from candlework.plans import assets, derivatives, equities
+
+QUERIES = equities.QUERIES | assets.QUERIES | derivatives.QUERIES
+ORACLE_SQL = equities.ORACLE_SQL | assets.ORACLE_SQL | derivatives.ORACLE_SQL
