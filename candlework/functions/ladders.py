@@ -29,9 +29,9 @@ def codes(ladder: str) -> list[str]:
 
 
 def position(ladder: str, x: str) -> str:
-    """The step of a value, from 0; null if it is undefined."""
+    """The step of a value, from 0: how many edges it has passed. Null if it is undefined."""
     steps, _ = LADDERS[ladder]
-    return f"CASE WHEN {x} IS NULL THEN NULL " + " ".join(f"WHEN {x} {op} {edge} THEN {i}" for i, (op, edge, _) in enumerate(steps)) + f" ELSE {len(steps)} END"
+    return "(" + " + ".join(f"CAST({x} {'>' if op == '<=' else '>='} {edge} AS INT)" for op, edge, _ in steps) + ")"
 
 
 def code(ladder: str, x: str) -> str:

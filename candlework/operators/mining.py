@@ -85,7 +85,7 @@ def named(summary: DataFrame, keys: list[str], ladder) -> DataFrame:
 def packed_sql(keys: list[str], ladder, source: str = "valued", where: str = "") -> list[tuple[str, str]]:
     items = ", ".join(f"{ladders.position(ladder(k), k)} + {16 * i}" for i, k in enumerate(keys))
     return [
-        ("packed", f"SELECT ticker, trade_date, entry_rule, list_filter([{items}], x -> x IS NOT NULL) AS items FROM {source}{where}"),
+        ("packed", f"SELECT ticker, trade_date, entry_rule, list_filter([{items}], lambda x: x IS NOT NULL) AS items FROM {source}{where}"),
         ("single", "SELECT ticker, trade_date, entry_rule, unnest(items) AS item FROM packed"),
     ]
 

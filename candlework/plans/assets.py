@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from candlework.functions import metrics
 from candlework.functions.sql import chain, in_duckdb, r
 from candlework.operators import exits, features, mining
+from candlework.sinks.spool import spool
 from candlework.sources import bars
 
 BARS = [("bars", bars.SPOT_SQL)]
@@ -34,26 +35,29 @@ def _exits(templates, spark, sf_dir):
 
 def mined_rows(spark, sf_dir, templates=None):
     spot = bars.spot_bars(spark, sf_dir)
-    states = mining.packed_states(features.values(spot), features.KEYS, features.LADDER.get)
-    return mining.with_outcomes(states, exits.samples(spot, templates or TEMPLATES), NAMES)
+    states = mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get)
+    return spool(mining.with_outcomes(states, spool(exits.samples(spot, templates or TEMPLATES), "samples"), NAMES), "mined")
 
 
-def _mined(size, spark, sf_dir):
-    return mining.finished(mining.aggregate(mined_rows(spark, sf_dir), mining.itemsets(size, PLACES), NAMES, RULES))
+def _mined(size, spark, sf_dir, rows=None):
+    rows = mined_rows(spark, sf_dir) if rows is None else rows
+    return mining.finished(mining.aggregate(rows, mining.itemsets(size, PLACES), NAMES, RULES))
 
 
 def promoted(spark, sf_dir):
-    return mining.promoted_pairs(_mined(2, spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return mining.promoted_pairs(_mined(2, spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def three(spark, sf_dir):
-    best = mining.promoted_pairs(_mined(2, spark, sf_dir), trades=20, win=50.0, factor=1.0, most=TOP_PAIRS)
+    rows = mined_rows(spark, sf_dir)
+    best = mining.promoted_pairs(_mined(2, spark, sf_dir, rows), trades=20, win=50.0, factor=1.0, most=TOP_PAIRS)
     pairs = [(x.a, x.b) for x in best.collect()]  # bounded by TOP_PAIRS; shapes the next plan
-    return mining.finished(mining.aggregate(mined_rows(spark, sf_dir), mining.itemsets(3, PLACES, pairs), NAMES, RULES))
+    return mining.finished(mining.aggregate(rows, mining.itemsets(3, PLACES, pairs), NAMES, RULES))
 
 
 def summary(spark, sf_dir):
-    both = _mined(1, spark, sf_dir).unionByName(_mined(2, spark, sf_dir))
+    rows = mined_rows(spark, sf_dir)
+    both = _mined(1, spark, sf_dir, rows).unionByName(_mined(2, spark, sf_dir, rows))
     return mining.named(both, features.KEYS, features.LADDER.get)
 
 
@@ -90,9 +94,8 @@ def _rename(steps, suffix: str):
     """The same steps under other names, to stand beside themselves."""
     import re
 
-    names = [n for n, _ in steps]
-    swap = lambda text: re.sub(r"\b(" + "|".join(names) + r")\b(?=\s|\)|$)", lambda m: m[1] + suffix, text)
-    return [(n + suffix, re.sub(r"\b(FROM|JOIN) (" + "|".join(names) + r")\b", lambda m: f"{m[1]} {m[2]}{suffix}", t)) for n, t in steps] if swap else []
+    names = "|".join(n for n, _ in steps)
+    return [(n + suffix, re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\g<1> \g<2>{suffix}", t)) for n, t in steps]
 
 
 def _decoded(source: str) -> str:
@@ -104,7 +107,7 @@ def _decoded(source: str) -> str:
 ORACLE_SQL |= {
     "itemset_1f": oracle(_BASE + mining.itemsets_sql(1, PLACES) + mining.SUMMARY_SQL, "SELECT * FROM summary"),
     "itemset_2f": oracle(_BASE + _TWO, "SELECT * FROM summary"),
-    "promoted_pairs": oracle(_BASE + _TWO + [("best", _PROMOTED.format(source="summary", trades=50, win=55.0, factor=1.5, most=150))], "SELECT a, b, round(score, 4) AS score FROM best"),
+    "promoted_pairs": oracle(_BASE + _TWO + [("best", _PROMOTED.format(source="summary", trades=50, win=55.0, factor=1.5, most=150))], "SELECT a, b, round(score, 6) AS score FROM best"),
     "itemset_3f_promoted": oracle(_BASE + _rename(_TWO, "2") + [("promoted", _PROMOTED.format(source="summary2", trades=20, win=50.0, factor=1.0, most=TOP_PAIRS))] + mining.itemsets_sql(3, PLACES) + mining.SUMMARY_SQL, "SELECT * FROM summary"),
 }
 _BOTH = _BASE + _rename(mining.itemsets_sql(1, PLACES) + mining.SUMMARY_SQL, "1") + _TWO + [("both_sizes", "SELECT * FROM summary1 UNION ALL SELECT * FROM summary")]

@@ -8,6 +8,7 @@ from candlework.functions import ladders
 from candlework.functions.sql import chain, in_duckdb, r, run
 from candlework.operators import exits, features, mining, options, reports
 from candlework.plans import assets
+from candlework.sinks.spool import spool
 from candlework.sources import bars
 
 BOTH = [("bars", bars.SPOT_SQL), ("options", bars.OPTION_SQL)]
@@ -47,12 +48,13 @@ _TEMPLATES = [t["template"] for t in options.templates()]
 
 def _option_states(spark, d):
     spot = bars.spot_bars(spark, d)
-    return mining.packed_states(features.values(spot, 25).where("entry_rule = 'open'"), _KEYS, _LADDER)
+    values = spool(features.values(spot, 25).where("entry_rule = 'open'"), "values")
+    return mining.packed_states(values, _KEYS, _LADDER)
 
 
 def e4_summary(spark, d):
     samples = options.discovery_samples(bars.spot_bars(spark, d), bars.option_bars(spark, d))
-    rows = mining.with_outcomes(_option_states(spark, d), samples, _TEMPLATES).persist()
+    rows = spool(mining.with_outcomes(_option_states(spark, d), samples, _TEMPLATES), "option-rows")
     rules = ["open"] * len(_TEMPLATES)
     both = [mining.aggregate(rows, mining.itemsets(k, _PLACES), _TEMPLATES, rules) for k in (1, 2)]
     return mining.named(mining.finished(both[0].unionByName(both[1])), _KEYS, _LADDER)
@@ -76,9 +78,9 @@ _PAIRS = [("fit", _SETS[0][1]), ("sets", "SELECT a.ticker, a.trade_date, a.entry
 
 
 def _refine_inputs(spark, d):
-    sets = _option_states(spark, d)
+    sets = spool(_option_states(spark, d), "option-states")
     sets = sets.select("ticker", "trade_date", "entry_rule", mining.itemsets(2, _PLACES).alias("x")).selectExpr("ticker", "trade_date", "entry_rule", "explode(x) AS itemset")
-    return {"sets": sets, "samples": options.discovery_samples(bars.spot_bars(spark, d), bars.option_bars(spark, d))}
+    return {"sets": sets, "samples": spool(options.discovery_samples(bars.spot_bars(spark, d), bars.option_bars(spark, d)), "option-samples")}
 
 
 def _refine(final, spark, d):
@@ -101,7 +103,7 @@ _REPORTED = exits.percent_templates() + exits.atr_templates()
 
 
 def _report(final, spark, d):
-    return run(spark, reports.stat_steps(), final, samples=exits.samples(bars.spot_bars(spark, d), _REPORTED))
+    return run(spark, reports.stat_steps(), final, samples=spool(exits.samples(bars.spot_bars(spark, d), _REPORTED), "samples"))
 
 
 for _name, _final in reports.FINALS.items():
@@ -111,15 +113,16 @@ for _name, _final in reports.FINALS.items():
 # Exit grid: 24 target and stop pairs, long at the open, five bars
 _GRID = exits.percent_templates(("open",), ("long",), tuple((float(t), float(s)) for t in (1, 2, 3, 4, 6, 8) for s in (1, 2, 3, 4)))
 _GRID_FINAL = f"SELECT template, n, tickers, tp, win, av, pf, {r('2.5 * tp + 35 * av + 8 * least(pf, 8) - 1.2 * sl_rate')} AS variant_score FROM full_m"
-QUERIES["exit_grid"] = lambda spark, d: run(spark, reports.stat_steps()[:1], _GRID_FINAL, samples=exits.samples(bars.spot_bars(spark, d), _GRID))
+QUERIES["exit_grid"] = lambda spark, d: run(spark, reports.stat_steps()[:1], _GRID_FINAL, samples=spool(exits.samples(bars.spot_bars(spark, d), _GRID), "samples"))
 ORACLE_SQL["exit_grid"] = oracle(exits.steps(_GRID) + reports.stat_steps()[:1], _GRID_FINAL)
 
 # Monitor
 
 
 def _monitor(final, spark, d):
-    summary = assets._mined(2, spark, d)
-    states = mining.packed_states(features.values(bars.spot_bars(spark, d)), features.KEYS, features.LADDER.get)
+    rows = assets.mined_rows(spark, d)
+    summary = assets._mined(2, spark, d, rows)
+    states = spool(mining.packed_states(spool(features.values(bars.spot_bars(spark, d)), "values"), features.KEYS, features.LADDER.get), "states")
     latest = states.selectExpr("ticker", "trade_date", "entry_rule", "items", "max(trade_date) OVER (PARTITION BY ticker) AS newest").where("trade_date = newest").selectExpr("ticker", "trade_date", "entry_rule", "explode(items) AS item")
     return run(spark, reports.monitor_steps([]), final, summary=summary, latest_items=latest)
 
