@@ -61,7 +61,7 @@ class Encoder:
     def _spaced(self, text: str):
         """Lines of words when single spaces and line feeds are all the white space; else None."""
         words = text.split()
-        return words if words and len(words) == text.count(" ") + text.count("\n") + 1 else None
+        return words if words and " ".join(words) == text.replace("\n", " ") else None
 
     def _ended(self, text: str):
         """White space is dropped, so any of it may separate; str.split also cuts at four controls that aren't."""
