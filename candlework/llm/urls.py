@@ -20,7 +20,7 @@ from candlework.llm.common import read
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SIZES, BUCKETS = (3, 4, 5), 4096
 #: The bound of the labelled sample, passes over it, step and L2 penalty.
-TRAIN_ROWS, EPOCHS, STEP, PENALTY = 2000, 8, 0.5, 1e-5
+TRAIN_ROWS, EPOCHS, STEP, PENALTY = 2000, 30, 4.0, 1e-5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
