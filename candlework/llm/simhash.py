@@ -18,6 +18,8 @@ compared block against block. Links then meet in components().
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -142,8 +144,35 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int = SHARD) -> DataFrame:
-    """(u, v) between representatives of distinct fingerprints; ``nodes`` has fp (distinct) and node."""
+def cover(fp: np.ndarray, radius: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (centre, member) of at most ``radius`` bits, and who has partners that are in no pair with it.
+
+    Points come in order of preference. Each level picks centres greedily (no two within ``radius``) and pairs
+    them with all others within reach, so a group of copies costs a star. Those that no level made a centre
+    are open if another such is within reach; every other pair within reach is returned.
+    """
+    n, linked = len(fp), []
+    for i in range(0, n, 128):
+        linked.append(np.count_nonzero(np.bitwise_count(fp[i : i + 128, None] ^ fp[None, :]) <= radius, axis=1) > 1)
+    rest = np.flatnonzero(np.concatenate(linked)) if linked else np.zeros(0, np.int64)
+    centres, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _ in range(levels):
+        free, centre, found = np.ones(len(rest), bool), np.zeros(len(rest), bool), []
+        while free.any():
+            i = int(np.argmax(free))
+            near = np.flatnonzero(np.bitwise_count(fp[rest] ^ fp[rest[i]]) <= radius)
+            centre[i], free[near] = True, False
+            found.append((i, near))
+        for i, near in found:
+            members.append(rest[near[~centre[near]]])
+            centres.append(np.full(len(members[-1]), rest[i]))
+        rest = rest[~centre]
+    still = [np.count_nonzero(np.bitwise_count(fp[rest[i : i + 128], None] ^ fp[rest][None, :]) <= radius, axis=1) > 1 for i in range(0, len(rest), 128)]
+    return np.concatenate(centres), np.concatenate(members), rest[np.concatenate(still)] if still else rest
+
+
+def _searched(nodes: DataFrame, radius: int, parts: int, shard: int, found) -> DataFrame:
+    """``found(fp, node)`` of every leaf of every part's tree, as rows (u, v); ``nodes`` has fp and node."""
     reach, masks, total = radius // parts, part_masks(parts), nodes.count()
     every = max(1, total // SAMPLE)
     sample = np.array([r.fp for r in nodes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)  # bounded; only shapes the trees
@@ -171,14 +200,37 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
         fp, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
         x = fp & np.uint64(masks[int(pdf["part"].iloc[0])])
-        found = [(node[at[i]], node[at[j]]) for at in leaves(x, reach, np.arange(len(x))) for i, j in forest(fp[at], radius)]
-        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+        rows = [found(fp[at], node[at]) for at in map(np.sort, leaves(x, reach, np.arange(len(x))))]
+        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"u": [], "v": []}, dtype="Int64")
 
     return blocks.groupBy("part", "leaf").applyInPandas(compare, "u long, v long")
 
 
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int = SHARD) -> DataFrame:
+    """(u, v) between representatives of distinct fingerprints that join just what all links would join."""
+
+    def found(fp, node):
+        return pd.DataFrame([(node[i], node[j]) for i, j in forest(fp, radius)], columns=["u", "v"], dtype="Int64")
+
+    return _searched(nodes, radius, parts, shard, found)
+
+
+def pairs(nodes: DataFrame, radius: int, parts: int, levels: int, shard: int = SHARD) -> DataFrame:
+    """(u, v), u < v, to be compared, and (u, null) for nodes that have partners beyond these pairs (see cover)."""
+
+    def found(fp, node):
+        centre, member, rest = cover(fp, radius, levels)
+        a, b = node[centre], node[member]
+        two = pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}, dtype="Int64")
+        one = pd.DataFrame({"u": node[rest], "v": [None] * len(rest)}, dtype="Int64")
+        return pd.concat([two, one], ignore_index=True)
+
+    return _searched(nodes, radius, parts, shard, found).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
@@ -204,48 +256,75 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of drop_near_duplicates: five words and a similarity of 0.8; links at 11 bits (six parts within one bit each).
-DROP_SHINGLE, DROP_SIMILARITY, DROP_RADIUS, DROP_PARTS, DROP_ROUNDS = 5, 0.8, 11, 6, 4
+DROP_SHINGLE, DROP_SIMILARITY, DROP_RADIUS, DROP_PARTS = 5, 0.8, 11, 6
+#: Levels of centres (see cover) in the first round, where most pairs are copies, and in later ones.
+FIRST_LEVELS, LATER_LEVELS = 1, 8
 
 
 def similarity(a: str | None, b: str | None, size: int = DROP_SHINGLE) -> float:
     """Shared shingles over all shingles of two texts; two texts without words are equal."""
-    x, y = set(shingles(a, size)), set(shingles(b, size))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    x, y = _shingle_set(a, size), _shingle_set(b, size)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+@lru_cache(32)
+def _shingle_set(text: str | None, size: int) -> frozenset[bytes]:
+    return frozenset(shingles(text, size))
+
+
+def _classes(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp and tag (a hash of the words in a row; with fp, 128 bits that stand for them)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            tag = np.array([xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(tag, pa.int64())], names=["doc_id", "fp", "tag"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, tag long")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY, radius: int = DROP_RADIUS, parts: int = DROP_PARTS) -> DataFrame:
     """The rows that stay, all columns as they are: one document of each group of near-duplicates.
 
-    Fingerprints propose groups; a document goes only if its shingles are at least ``least`` similar to those of
-    the smallest doc_id of its group. The rest of a group is judged again among itself, up to DROP_ROUNDS times;
-    what is left then stays. Equal rows are one. Rows without a doc_id stay.
+    Texts of the same words are one class, of which the smallest doc_id stays. Classes within ``radius`` bits are
+    compared, and the larger doc_id goes if their shingles are at least ``least`` similar. Rounds compare
+    centres with their surroundings (see cover); who has other partners and is still there comes again, until
+    none is left: every pair within ``radius`` is compared unless one of the two is gone. Equal rows
+    are one. Rows without a doc_id stay; a doc_id on texts of different words is compared with no other.
     """
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
-    groups = near_duplicates(docs.where("doc_id is not null"), size, radius, parts).select("doc_id", F.col("component_id").alias("group")).distinct()
-    crowd = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    left = spool(groups.join(crowd, "group", "left_semi").join(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("tag").alias("tag")), "doc_id"), "crowds")
-    texts = spool(docs.join(left.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "crowd-texts")
-    gone = None
+    named = spool(_classes(docs.where("doc_id is not null"), size), "classes")
+    classes = spool(named.groupBy("fp", "tag").agg(F.min("doc_id").alias("node")), "class-nodes")
+    several = named.groupBy("doc_id").agg(F.min(F.struct("fp", "tag")).alias("a"), F.max(F.struct("fp", "tag")).alias("b")).where("a != b").select(F.col("doc_id").alias("node"))
+    left = classes.join(several, "node", "left_anti").select("fp", "node")
+    texts = gone = None
 
     def judge(batches):
         for batch in batches:
-            same = [similarity(a, b, size) >= least for a, b in zip(batch.column("text").to_pylist(), batch.column("root_text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), batch.column("tag"), pa.array(same, pa.bool_())], names=["doc_id", "group", "tag", "same"])
-
-    for _ in range(DROP_ROUNDS):
-        root = left.groupBy("group").agg(F.min(F.struct(F.col("doc_id").alias("root"), F.col("tag").alias("root_tag"))).alias("r")).select("group", "r.*")
-        pairs = left.join(root, "group").where("doc_id != root")
-        copies = pairs.where("tag = root_tag").select("doc_id", "group", "tag", F.lit(True).alias("same"))
-        roots = texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text"))
-        others = pairs.where("tag != root_tag").join(texts, "doc_id").join(roots, "root").select("doc_id", "group", "tag", "text", "root_text")
-        judged = spool(copies.unionByName(others.mapInArrow(judge, "doc_id long, group long, tag long, same boolean")), "judged")
-        now = judged.where("same").select("doc_id")
+            same = [similarity(a, b, size) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("v").filter(pa.array(same, pa.bool_()))], names=["v"])
+
+    while True:
+        found = spool(pairs(left, radius, parts, FIRST_LEVELS if gone is None else LATER_LEVELS), "pairs")
+        two = found.where("v is not null")
+        if texts is None:
+            ids = two.select(F.col("u").alias("doc_id")).unionByName(two.select(F.col("v").alias("doc_id"))).distinct()
+            texts = spool(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        both = two.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        now = spool(both.select("v", "a", "b").mapInArrow(judge, "v long").distinct(), "gone")
         gone = now if gone is None else gone.unionByName(now)
-        left = judged.where("not same").drop("same")
+        still = found.where("v is null").select(F.col("u").alias("node")).join(now.select(F.col("v").alias("node")), "node", "left_anti")
+        left = spool(left.join(still, "node", "left_semi"), "left")
         if left.isEmpty():
             break
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    again = rows.where("doc_id is not null").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct()
+    stay = classes.join(gone.select(F.col("v").alias("node")), "node", "left_anti")
+    kept_ids = stay.select(F.col("node").alias("doc_id")).distinct()
+    # a doc_id on several texts stays when any of its classes is first there
+    kept = docs.where("doc_id is null").unionByName(docs.join(kept_ids, "doc_id", "left_semi").select(docs.columns))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

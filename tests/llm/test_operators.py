@@ -110,6 +110,39 @@ def test_drop_near_duplicates(spark, docs):
     assert 3 not in kept and len(kept) == len(set(kept))
 
 
+def test_cover_returns_every_pair_or_both_ends():
+    draw = random.Random(8)
+    seeds = [draw.getrandbits(64) for _ in range(4)]
+    fp = np.array([s ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 8))) for s in seeds for _ in range(40)], np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 11
+    for levels in (1, 3, 100):
+        a, b, rest = simhash.cover(fp, 11, levels)
+        pairs = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
+        assert all(near[i, j] for i, j in zip(a, b, strict=True)) and (levels < 100 or not len(rest))
+        assert all(frozenset((i, j)) in pairs or {i, j} <= set(rest.tolist()) for i in range(len(fp)) for j in range(i) if near[i, j])
+
+
+def test_drop_leaves_no_close_pair_and_no_orphan(spark):
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    rows = []
+    for _ in range(6):
+        base = [draw.choice(words) for _ in range(80)]
+        for _ in range(40):  # from equal to clearly different, so that many pairs are near in bits only
+            own = base[:]
+            for k in draw.sample(range(80), draw.choice((0, 0, 1, 2, 4, 8))):
+                own[k] = draw.choice(words)
+            rows.append(" ".join(own))
+    rows += ["", None, "  ", "one two", "One  TWO"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    fps = [simhash.fingerprint(t, 5) for t in rows]
+    like = [[j for j in range(i) if simhash.similarity(rows[i], rows[j]) >= 0.8] for i in range(len(rows))]
+    assert all(like[i] for i in set(range(len(rows))) - kept)
+    assert not [(i, j) for i in kept for j in like[i] if j in kept and (fps[i] ^ fps[j]).bit_count() <= 11]
+    assert {240, 243} <= kept and not {241, 242, 244} & kept
+
+
 def test_quality(spark, docs):
     df, by_id = docs
     rows = {r.doc_id: r for r in quality.judge(df).collect()}
