@@ -34,7 +34,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Parts of a fingerprint, each with its tree.
 PARTS = 4
 #: Fingerprints that the routing trees are grown on, in a shard, and in a leaf.
-SAMPLE, SHARD, LEAF = 4096, 16384, 256
+SAMPLE, SHARD, LEAF = 4096, 1 << 18, 1024
 _CHUNK = 1 << 16
 
 
@@ -144,35 +144,50 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def cover(fp: np.ndarray, radius: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (centre, member) of at most ``radius`` bits, and who has partners that are in no pair with it.
+def _others(near, rest: np.ndarray) -> np.ndarray:
+    """How many others of ``rest`` are near to each of it."""
+    counts = [np.count_nonzero(near(rest[i : i + 128, None], rest[None, :]), axis=1) for i in range(0, len(rest), 128)]
+    return np.concatenate(counts) - 1 if counts else np.zeros(0, np.int64)
 
-    Points come in order of preference. Each level picks centres greedily (no two within ``radius``) and pairs
-    them with all others within reach, so a group of copies costs a star. Those that no level made a centre
-    are open if another such is within reach; every other pair within reach is returned.
+
+def cover(near, n: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (centre, member) of points that are near, and who has partners that are in no pair with it.
+
+    ``near(i, j)`` compares arrays of the points 0 to n - 1, which come in order of preference. Level 0 picks
+    centres greedily (no two are near) and gives each other point its first centre only, so a group of copies
+    costs a star. Each further level picks centres among those that are none yet and pairs them with all that are near and
+    no centres. Points with a pair that was not returned are open at both ends.
     """
-    n, linked = len(fp), []
-    for i in range(0, n, 128):
-        linked.append(np.count_nonzero(np.bitwise_count(fp[i : i + 128, None] ^ fp[None, :]) <= radius, axis=1) > 1)
-    rest = np.flatnonzero(np.concatenate(linked)) if linked else np.zeros(0, np.int64)
+    rest = np.arange(n)
+    rest = rest[_others(near, rest) > 0]
     centres, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not levels:
+        owner = np.full(len(rest), -1)
+        degree, stars = _others(near, rest), np.zeros(len(rest), np.int64)
+        while (owner < 0).any():
+            i = int(np.argmax(owner < 0))
+            mine = np.flatnonzero((owner < 0) & near(rest[i], rest))
+            owner[mine] = i
+            stars[i] += len(mine) - 1
+        member = owner != np.arange(len(rest))
+        stars[member] = 1
+        return rest[owner[member]], rest[member], rest[degree > stars]
     for _ in range(levels):
         free, centre, found = np.ones(len(rest), bool), np.zeros(len(rest), bool), []
         while free.any():
             i = int(np.argmax(free))
-            near = np.flatnonzero(np.bitwise_count(fp[rest] ^ fp[rest[i]]) <= radius)
-            centre[i], free[near] = True, False
-            found.append((i, near))
-        for i, near in found:
-            members.append(rest[near[~centre[near]]])
+            close = np.flatnonzero(near(rest[i], rest))
+            centre[i], free[close] = True, False
+            found.append((i, close))
+        for i, close in found:
+            members.append(rest[close[~centre[close]]])
             centres.append(np.full(len(members[-1]), rest[i]))
         rest = rest[~centre]
-    still = [np.count_nonzero(np.bitwise_count(fp[rest[i : i + 128], None] ^ fp[rest][None, :]) <= radius, axis=1) > 1 for i in range(0, len(rest), 128)]
-    return np.concatenate(centres), np.concatenate(members), rest[np.concatenate(still)] if still else rest
+    return np.concatenate(centres), np.concatenate(members), rest[_others(near, rest) > 0]
 
 
 def _searched(nodes: DataFrame, radius: int, parts: int, shard: int, found) -> DataFrame:
-    """``found(fp, node)`` of every leaf of every part's tree, as rows (u, v); ``nodes`` has fp and node."""
+    """``found(fp, node, part)`` of every leaf of every part's tree, as rows (u, v); ``nodes`` has fp and node."""
     reach, masks, total = radius // parts, part_masks(parts), nodes.count()
     every = max(1, total // SAMPLE)
     sample = np.array([r.fp for r in nodes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)  # bounded; only shapes the trees
@@ -202,9 +217,10 @@ def _searched(nodes: DataFrame, radius: int, parts: int, shard: int, found) -> D
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         fp, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
-        x = fp & np.uint64(masks[int(pdf["part"].iloc[0])])
-        rows = [found(fp[at], node[at]) for at in map(np.sort, leaves(x, reach, np.arange(len(x))))]
-        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"u": [], "v": []}, dtype="Int64")
+        part = int(pdf["part"].iloc[0])
+        x = fp & np.uint64(masks[part])
+        rows = [found(fp[at], node[at], part) for at in map(np.sort, leaves(x, reach, np.arange(len(x))))]
+        return pd.concat(rows, ignore_index=True).drop_duplicates() if rows else pd.DataFrame({"u": [], "v": []}, dtype="Int64")
 
     return blocks.groupBy("part", "leaf").applyInPandas(compare, "u long, v long")
 
@@ -212,17 +228,29 @@ def _searched(nodes: DataFrame, radius: int, parts: int, shard: int, found) -> D
 def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int = SHARD) -> DataFrame:
     """(u, v) between representatives of distinct fingerprints that join just what all links would join."""
 
-    def found(fp, node):
+    def found(fp, node, part):
         return pd.DataFrame([(node[i], node[j]) for i, j in forest(fp, radius)], columns=["u", "v"], dtype="Int64")
 
     return _searched(nodes, radius, parts, shard, found)
 
 
 def pairs(nodes: DataFrame, radius: int, parts: int, levels: int, shard: int = SHARD) -> DataFrame:
-    """(u, v), u < v, to be compared, and (u, null) for nodes that have partners beyond these pairs (see cover)."""
+    """(u, v), u < v, to be compared, and (u, null) for nodes that have partners beyond these pairs (see cover).
 
-    def found(fp, node):
-        centre, member, rest = cover(fp, radius, levels)
+    A pair is the business of the first part on which its fingerprints agree within the part's radius.
+    """
+    reach, masks = radius // parts, [np.uint64(m) for m in part_masks(parts)]
+
+    def found(fp, node, part):
+        def near(i, j):
+            d = fp[i] ^ fp[j]
+            close = np.bitwise_count(d) <= radius
+            if part and close.any():
+                at = np.nonzero(close)
+                close[at] = np.all([np.bitwise_count(d[at] & m) > reach for m in masks[:part]], axis=0) | (d[at] == 0)
+            return close
+
+        centre, member, rest = cover(near, len(fp), levels)
         a, b = node[centre], node[member]
         two = pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}, dtype="Int64")
         one = pd.DataFrame({"u": node[rest], "v": [None] * len(rest)}, dtype="Int64")
@@ -258,7 +286,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Of drop_near_duplicates: five words and a similarity of 0.8; links at 11 bits (six parts within one bit each).
 DROP_SHINGLE, DROP_SIMILARITY, DROP_RADIUS, DROP_PARTS = 5, 0.8, 11, 6
 #: Levels of centres (see cover) in the first round, where most pairs are copies, and in later ones.
-FIRST_LEVELS, LATER_LEVELS = 1, 8
+FIRST_LEVELS, LATER_LEVELS = 0, 4
 
 
 def similarity(a: str | None, b: str | None, size: int = DROP_SHINGLE) -> float:
@@ -311,7 +339,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float
         found = spool(pairs(left, radius, parts, FIRST_LEVELS if gone is None else LATER_LEVELS), "pairs")
         two = found.where("v is not null")
         if texts is None:
-            ids = two.select(F.col("u").alias("doc_id")).unionByName(two.select(F.col("v").alias("doc_id"))).distinct()
+            ids = found.select(F.col("u").alias("doc_id")).unionByName(two.select(F.col("v").alias("doc_id"))).distinct()
             texts = spool(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
         both = two.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         now = spool(both.select("v", "a", "b").mapInArrow(judge, "v long").distinct(), "gone")

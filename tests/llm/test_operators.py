@@ -115,8 +115,8 @@ def test_cover_returns_every_pair_or_both_ends():
     seeds = [draw.getrandbits(64) for _ in range(4)]
     fp = np.array([s ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 8))) for s in seeds for _ in range(40)], np.uint64)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 11
-    for levels in (1, 3, 100):
-        a, b, rest = simhash.cover(fp, 11, levels)
+    for levels in (0, 1, 3, 100):
+        a, b, rest = simhash.cover(lambda i, j: near[i, j], len(fp), levels)
         pairs = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
         assert all(near[i, j] for i, j in zip(a, b, strict=True)) and (levels < 100 or not len(rest))
         assert all(frozenset((i, j)) in pairs or {i, j} <= set(rest.tolist()) for i in range(len(fp)) for j in range(i) if near[i, j])
