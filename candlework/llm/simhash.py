@@ -34,7 +34,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Parts of a fingerprint, each with its tree.
 PARTS = 4
 #: Fingerprints that the routing trees are grown on, in a shard, and in a leaf.
-SAMPLE, SHARD, LEAF = 4096, 1 << 18, 1024
+SAMPLE, SHARD, LEAF = 4096, 1 << 18, 512
 _CHUNK = 1 << 16
 
 
@@ -85,10 +85,10 @@ def _split(x: np.ndarray, reach: int):
     upto = np.cumsum(counts)
     for r in range(int(d.max())):
         inside, outside = int(upto[min(r + reach, 65)]), int(len(x) - upto[r])
-        cost = inside**1.5 + outside**1.5
+        cost = inside**2 + outside**2
         if outside < len(x) and (best is None or cost < best[0]):
             best = (cost, r)
-    if best is None or best[0] > 0.98 * len(x) ** 1.5:
+    if best is None or best[0] > 0.9 * len(x) ** 2:
         return None
     r = best[1]
     return v, r, d <= r + reach, d > r
