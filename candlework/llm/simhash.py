@@ -234,31 +234,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, shard: int
     return _searched(nodes, radius, parts, shard, found)
 
 
-def pairs(nodes: DataFrame, radius: int, parts: int, levels: int, shard: int = SHARD) -> DataFrame:
-    """(u, v), u < v, to be compared, and (u, null) for nodes that have partners beyond these pairs (see cover).
-
-    A pair is the business of the first part on which its fingerprints agree within the part's radius.
-    """
-    reach, masks = radius // parts, [np.uint64(m) for m in part_masks(parts)]
-
-    def found(fp, node, part):
-        def near(i, j):
-            d = fp[i] ^ fp[j]
-            close = np.bitwise_count(d) <= radius
-            if part and close.any():
-                at = np.nonzero(close)
-                close[at] = np.all([np.bitwise_count(d[at] & m) > reach for m in masks[:part]], axis=0) | (d[at] == 0)
-            return close
-
-        centre, member, rest = cover(near, len(fp), levels)
-        a, b = node[centre], node[member]
-        two = pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}, dtype="Int64")
-        one = pd.DataFrame({"u": node[rest], "v": [None] * len(rest)}, dtype="Int64")
-        return pd.concat([two, one], ignore_index=True)
-
-    return _searched(nodes, radius, parts, shard, found).distinct()
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
@@ -283,10 +258,16 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-#: Of drop_near_duplicates: five words and a similarity of 0.8; links at 11 bits (six parts within one bit each).
-DROP_SHINGLE, DROP_SIMILARITY, DROP_RADIUS, DROP_PARTS = 5, 0.8, 11, 6
-#: Levels of centres (see cover) in the first round, where most pairs are copies, and in later ones.
-FIRST_LEVELS, LATER_LEVELS = 0, 4
+#: Of drop_near_duplicates: five words and a similarity of 0.8.
+DROP_SHINGLE, DROP_SIMILARITY = 5, 0.8
+#: Minhashes of a text: bands of so many rows. Two texts that are 0.8 similar agree on some band but for 3 in 100,000.
+BANDS, BAND_ROWS = 20, 4
+#: How far below the similarity asked for an estimate may be: over four standard errors, so 1 pair in 100,000 is lost.
+SLACK = 0.2
+#: Likeliest smaller partners of a text that are judged, in each bucket, before all are.
+FIRST_PARTNERS = 2
+#: Rows of buckets in a task.
+SLOT = 1 << 16
 
 
 def similarity(a: str | None, b: str | None, size: int = DROP_SHINGLE) -> float:
@@ -301,54 +282,120 @@ def _shingle_set(text: str | None, size: int) -> frozenset[bytes]:
     return frozenset(shingles(text, size))
 
 
+_MIX = np.random.default_rng(SEED).integers(1 << 62, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+
+
+def minhashes(text: str | None, size: int = DROP_SHINGLE) -> np.ndarray | None:
+    """The least of every shingle's hash under each of BANDS x BAND_ROWS orders; None for a text without words."""
+    found = list(_shingle_set(text, size))
+    if not found:
+        return None
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    digest = xxhash.xxh3_64_digest
+    for i in range(0, len(found), 2048):
+        h = np.frombuffer(b"".join([digest(s, SEED) for s in found[i : i + 2048]]), np.uint64)
+        mixed = (h ^ _MIX[0]) * (_MIX[1] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    return least
+
+
 def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp and tag (a hash of the words in a row; with fp, 128 bits that stand for them)."""
+    """doc_id, high and low (a 128-bit hash of the words in a row), keys (of each band) and sig (a byte of each minhash)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            tag = np.array([xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(tag, pa.int64())], names=["doc_id", "fp", "tag"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, tag long")
-
-
-def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY, radius: int = DROP_RADIUS, parts: int = DROP_PARTS) -> DataFrame:
+            names, keys, sigs = [], [], []
+            for t in batch.column("text").to_pylist():
+                names.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
+                least = minhashes(t, size)
+                if least is None:
+                    keys.append([])
+                    sigs.append(b"")
+                else:
+                    raw = least.tobytes()
+                    keys.append([xxhash.xxh3_64_intdigest(raw[8 * BAND_ROWS * b : 8 * BAND_ROWS * (b + 1)], b) - (1 << 63) for b in range(BANDS)])
+                    sigs.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "high", "low", "keys", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long, keys array<long>, sig binary")
+
+
+def likely(sig: np.ndarray, there: np.ndarray, least: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (earlier point, point that is still there) whose signatures agree in a share of at least ``least``.
+
+    At most ``most`` earlier points, the likeliest, for each.
+    """
+    rows, turned = np.flatnonzero(there), np.ascontiguousarray(sig.T)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in (rows[i : i + 128] for i in range(0, len(rows), 128)):
+        same = np.zeros((len(at), int(at[-1])), np.uint8)
+        for k in range(len(turned)):
+            same += turned[k, at, None] == turned[k, None, : at[-1]]
+        same[np.arange(at[-1]) >= at[:, None]] = 0
+        for i, row in zip(at, same, strict=True):
+            found = np.flatnonzero(row >= least * len(turned))
+            if most and len(found) > most:
+                found = found[np.argpartition(row[found], -most)[-most:]]
+            a.append(found)
+            b.append(np.full(len(found), i))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _likely_pairs(members: DataFrame, least: float, most: int | None) -> DataFrame:
+    """(u, v), u < v, of ``likely`` within each key of ``members`` (key, node, there, sig)."""
+    slots = max(1, -(-members.count() // SLOT))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "node"])
+        node, there = pdf["node"].to_numpy(np.int64), pdf["there"].to_numpy(bool)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        cut = np.flatnonzero(np.diff(pdf["key"].to_numpy(np.int64))) + 1
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in zip([0, *cut], [*cut, len(pdf)], strict=True):
+            a, b = likely(sig[i:j], there[i:j], least, most)
+            out.append(np.stack([node[i + a], node[i + b]], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+    return members.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots))).groupBy("slot").applyInPandas(run, "u long, v long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY) -> DataFrame:
     """The rows that stay, all columns as they are: one document of each group of near-duplicates.
 
-    Texts of the same words are one class, of which the smallest doc_id stays. Classes within ``radius`` bits are
-    compared, and the larger doc_id goes if their shingles are at least ``least`` similar. Rounds compare
-    centres with their surroundings (see cover); who has other partners and is still there comes again, until
-    none is left: every pair within ``radius`` is compared unless one of the two is gone. Equal rows
-    are one. Rows without a doc_id stay; a doc_id on texts of different words is compared with no other.
+    Texts of the same words are one class, of which the smallest doc_id stays. A class goes if its shingles are at least
+    ``least`` similar to those of any with a smaller doc_id, be that one there or gone, so what goes does not turn
+    on the order of comparisons. Pairs that agree on a band of minhashes are judged on their texts: first each with
+    the smallest of its bucket, then who is still there with its likeliest smaller partners, then with all of them. Equal
+    rows are one. Rows without a doc_id stay; a doc_id on texts of different words is compared with no other.
     """
     named = spool(_classes(docs.where("doc_id is not null"), size), "classes")
-    classes = spool(named.groupBy("fp", "tag").agg(F.min("doc_id").alias("node")), "class-nodes")
-    several = named.groupBy("doc_id").agg(F.min(F.struct("fp", "tag")).alias("a"), F.max(F.struct("fp", "tag")).alias("b")).where("a != b").select(F.col("doc_id").alias("node"))
-    left = classes.join(several, "node", "left_anti").select("fp", "node")
-    texts = gone = None
+    classes = spool(named.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "class-nodes")
+    several = named.groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("a"), F.max(F.struct("high", "low")).alias("b")).where("a != b").select(F.col("doc_id").alias("node"))
+    left = classes.join(several, "node", "left_anti")
+    every = left.select(F.explode("keys").alias("key"), "node")
+    buckets = spool(every.join(every.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "key"), "buckets")
+    texts = spool(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     def judge(batches):
         for batch in batches:
             same = [similarity(a, b, size) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("v").filter(pa.array(same, pa.bool_()))], names=["v"])
-
-    while True:
-        found = spool(pairs(left, radius, parts, FIRST_LEVELS if gone is None else LATER_LEVELS), "pairs")
-        two = found.where("v is not null")
-        if texts is None:
-            ids = found.select(F.col("u").alias("doc_id")).unionByName(two.select(F.col("v").alias("doc_id"))).distinct()
-            texts = spool(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+            yield pa.RecordBatch.from_arrays([batch.column("v").filter(pa.array(same, pa.bool_()))], names=["node"])
+
+    def judged(two: DataFrame) -> DataFrame:
         both = two.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-        now = spool(both.select("v", "a", "b").mapInArrow(judge, "v long").distinct(), "gone")
-        gone = now if gone is None else gone.unionByName(now)
-        still = found.where("v is null").select(F.col("u").alias("node")).join(now.select(F.col("v").alias("node")), "node", "left_anti")
-        left = spool(left.join(still, "node", "left_semi"), "left")
-        if left.isEmpty():
-            break
-    stay = classes.join(gone.select(F.col("v").alias("node")), "node", "left_anti")
+        return spool(both.select("v", "a", "b").mapInArrow(judge, "node long").distinct(), "gone")
+
+    gone = judged(buckets.where("first != node").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
+    for most in (FIRST_PARTNERS, None):
+        state = buckets.join(gone.withColumn("gone", F.lit(True)), "node", "left").withColumn("there", F.isnull("gone") & (F.col("node") != F.col("first")))
+        open_ = state.groupBy("key").agg(F.max("there").alias("open")).where("open").select("key")
+        members = spool(state.join(open_, "key", "left_semi").join(left.select("node", "sig"), "node").select("key", "node", "there", "sig"), "open")
+        gone = gone.unionByName(judged(_likely_pairs(members, least - SLACK, most)))
+    stay = classes.join(gone, "node", "left_anti")
     kept_ids = stay.select(F.col("node").alias("doc_id")).distinct()
     # a doc_id on several texts stays when any of its classes is first there
     kept = docs.where("doc_id is null").unionByName(docs.join(kept_ids, "doc_id", "left_semi").select(docs.columns))

@@ -143,6 +143,22 @@ def test_drop_leaves_no_close_pair_and_no_orphan(spark):
     assert {240, 243} <= kept and not {241, 242, 244} & kept
 
 
+def test_drop_judges_copies_of_a_removed_text(spark):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base, rows = [draw.choice(words) for _ in range(400)], []
+    for _ in range(40):
+        own = base[:]
+        for k in draw.sample(range(400), 7):
+            own[k] = draw.choice(words)
+        rows.append(" ".join(own))
+    for at in (0, 1, 20):
+        texts_ = rows[:at] + [" ".join(base)] + rows[at:]
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+        assert kept == {i for i in range(41) if not any(simhash.similarity(texts_[i], texts_[j]) >= 0.8 for j in range(i))}
+        assert len(kept) <= max(1, at)
+
+
 def test_quality(spark, docs):
     df, by_id = docs
     rows = {r.doc_id: r for r in quality.judge(df).collect()}
