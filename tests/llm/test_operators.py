@@ -159,6 +159,22 @@ def test_drop_judges_copies_of_a_removed_text(spark):
         assert len(kept) <= max(1, at)
 
 
+def test_minhashes_propose_all_pairs_of_the_stated_similarity():
+    draw = random.Random(13)
+    missed = total = 0
+    for _ in range(1500):
+        base = [str(draw.randrange(10**6)) for _ in range(200)]
+        own = base[:]
+        for k in draw.sample(range(200), 4):
+            own[k] = "x"
+        if not 0.8 <= simhash.similarity(" ".join(base), " ".join(own)) < 0.85:
+            continue
+        a, b = simhash.minhashes(" ".join(base)), simhash.minhashes(" ".join(own))
+        bands = (a == b).reshape(simhash.BANDS, simhash.BAND_ROWS).all(axis=1)
+        total, missed = total + 1, missed + (not bands.any() or (a == b).mean() < 0.8 - simhash.SLACK)
+    assert total > 500 and missed <= 1
+
+
 def test_quality(spark, docs):
     df, by_id = docs
     rows = {r.doc_id: r for r in quality.judge(df).collect()}
