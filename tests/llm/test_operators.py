@@ -284,6 +284,22 @@ def test_neighbours(spark):
     assert {r.query_id for r in got} == set(range(0, 300, 20))
 
 
+def test_neighbours_recall_where_the_index_answers(spark):
+    x = np.random.default_rng(6).normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = range(0, 20000, 200)
+    got = {q: set() for q in asked}
+    for r in ann.search(df, df.where("vec_id % 200 = 0").select("vec_id")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert 0.95 <= hits / (20 * len(asked)) and int(ann.CANDIDATE_SHARE * len(x)) < len(x) // 2
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://WWW.Example.com/en/x?a#b"), (2, "https://a.example.com/en/1"), (3, "http://b.com"), (4, None), (5, "no scheme"), (6, "http://x.net/es/1"), (7, "http://q.org/a")], "page_id long, url string")
     got = {r.page_id: r for r in urls.judge(pages, urls.train([])).collect()}
