@@ -18,6 +18,9 @@ TEMPLATES = exits.percent_templates(pairs=((2.0, 1.0),))
 NAMES, RULES = [t["template"] for t in TEMPLATES], [t["entry"] for t in TEMPLATES]
 PLACES = [features.KEYS.index(k) for k in features.PAIRABLE]
 TOP_PAIRS = 5
+#: Gates of promoted pairs: a few pairs behind looser ones, and the miner's own defaults.
+FEW = {"trades": 20, "win": 50.0, "factor": 1.0, "most": TOP_PAIRS}
+DEFAULT = {"trades": mining.PRE_TRADES, "win": mining.PRE_WIN, "factor": mining.PRE_FACTOR, "most": mining.PRE_PAIRS}
 GATE = metrics.reasons(success=0.0, factor=1.10, average=0.0, trades=80, tickers=8, take_profit=0.0)
 
 
@@ -48,10 +51,10 @@ def promoted(spark, sf_dir):
     return mining.promoted_pairs(_mined(2, spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-def three(spark, sf_dir):
+def three(gates, spark, sf_dir):
     rows = mined_rows(spark, sf_dir)
-    best = mining.promoted_pairs(_mined(2, spark, sf_dir, rows), trades=20, win=50.0, factor=1.0, most=TOP_PAIRS)
-    pairs = [(x.a, x.b) for x in best.collect()]  # bounded by TOP_PAIRS; shapes the next plan
+    best = mining.promoted_pairs(_mined(2, spark, sf_dir, rows), **gates)
+    pairs = [(x.a, x.b) for x in best.collect()]  # bounded by most; shapes the next plan
     return mining.finished(mining.aggregate(rows, mining.itemsets(3, PLACES, pairs), NAMES, RULES))
 
 
@@ -84,7 +87,8 @@ QUERIES |= {
     "itemset_1f": partial(_mined, 1),
     "itemset_2f": partial(_mined, 2),
     "promoted_pairs": promoted,
-    "itemset_3f_promoted": three,
+    "itemset_3f_promoted": partial(three, FEW),
+    "itemset_3f_default": partial(three, DEFAULT),
     "e6_summary": summary,
     "e6_gate": lambda spark, d: summary(spark, d).where(f"{GATE} = ''"),
 }
@@ -110,5 +114,6 @@ ORACLE_SQL |= {
     "promoted_pairs": oracle(_BASE + _TWO + [("best", _PROMOTED.format(source="summary", trades=50, win=55.0, factor=1.5, most=150))], "SELECT a, b, round(score, 6) AS score FROM best"),
     "itemset_3f_promoted": oracle(_BASE + _rename(_TWO, "2") + [("promoted", _PROMOTED.format(source="summary2", trades=20, win=50.0, factor=1.0, most=TOP_PAIRS))] + mining.itemsets_sql(3, PLACES) + mining.SUMMARY_SQL, "SELECT * FROM summary"),
 }
+ORACLE_SQL["itemset_3f_default"] = oracle(_BASE + _rename(_TWO, "2") + [("promoted", _PROMOTED.format(source="summary2", **DEFAULT))] + mining.itemsets_sql(3, PLACES) + mining.SUMMARY_SQL, "SELECT * FROM summary")
 _BOTH = _BASE + _rename(mining.itemsets_sql(1, PLACES) + mining.SUMMARY_SQL, "1") + _TWO + [("both_sizes", "SELECT * FROM summary1 UNION ALL SELECT * FROM summary")]
 ORACLE_SQL |= {"e6_summary": oracle(_BOTH, _decoded("both_sizes")), "e6_gate": oracle(_BOTH + [("decoded", _decoded("both_sizes"))], f"SELECT * FROM decoded WHERE {GATE} = ''")}
