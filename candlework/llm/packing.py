@@ -4,12 +4,13 @@ Documents are cut into pieces of at most ``capacity`` tokens (only longer ones a
 the remainder). Pieces are dealt to groups by hash and each group packs its own by best fit decreasing. A
 dual feasible function turns piece lengths into a lower bound on the sequences that any packing needs; a
 group that meets its bound is certified and done. Of a group with a gap, full sequences stay; the
-documents of those with room go to an exchange, where sequences of many groups meet in fewer groups and
+documents of those with room go to an exchange, where sequences of many groups meet in other groups and
 are packed again by best fit decreasing. A repacking that needs more sequences than it was given is
-discarded. Every round leaves fewer groups, and the last has one, so that rounds are few.
+discarded. Rounds end when all that is left fits one group, or when a round saves less than a share LEAST_SAVED
+of the sequences it was given.
 
-Each group holds about ``group_rows`` pieces of 48 bytes, whatever the input. A hot source doesn't matter:
-pieces are dealt by the hash of document and piece number.
+Each group holds about ``group_rows`` pieces of 48 bytes, whatever the input and however little a round
+settles. A hot source doesn't matter: pieces are dealt by the hash of document and piece number.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, small_batches, spool
+from candlework.llm.common import read, spool
 from candlework.llm.tokens import crc, encoded, public_path
 
 CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
-GROUP_ROWS, SHRINK = 50_000, 16
+GROUP_ROWS, LEAST_SAVED = 50_000, 0.001
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, released boolean, bins long, bound long"
 
@@ -75,7 +76,6 @@ def bin_bound(lengths: np.ndarray, capacity: int) -> int:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of every document. Null text is empty; a document without tokens has no piece."""
     path = tokenizer or public_path(TOKENIZER)
-    small_batches(docs.sparkSession)
 
     def cut(batches):
         for batch, ids in encoded(batches, path, end_id):
@@ -129,17 +129,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     number, settled, left = 0, [], items.count()
     groups = max(1, -(-left // group_rows))
     group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
+    given = None
     while True:
         last = groups == 1
         done = spool(_round(items, group, number, capacity, last), "packed")
-        settled.append(done.where("not released"))
-        if last:
+        open_ = done.where("released")
+        bins = done.groupBy(F.shiftright("sequence_id", 24).alias("g")).agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0
+        if last or (given is not None and given - bins < LEAST_SAVED * given):
+            settled.append(done)
             break
-        items = done.where("released").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id")
-        if not (left := items.count()):
+        settled.append(done.where("not released"))
+        left, given = open_.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        if not left:
             break
-        number, groups = number + 1, max(1, min(groups // SHRINK, -(-left // group_rows)))
-        group = F.pmod(F.xxhash64("sequence_id"), F.lit(groups))  # an old sequence moves whole
+        items = open_.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id")
+        number, groups = number + 1, -(-left // group_rows)
+        group = F.pmod(F.xxhash64(F.lit(number), "sequence_id"), F.lit(groups))  # an old sequence moves whole
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)

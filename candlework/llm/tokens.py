@@ -1,28 +1,35 @@
 """Token ids by a tokenizer file, with a per-worker cache of words.
 
 A byte-pair tokenizer never merges across the boundary before a word, so the ids of a text are the ids of
-its words in a row. Words repeat; each distinct one is encoded by the library once per worker and kept as
-the little-endian bytes of its ids. A text whose white space is anything but single spaces and line feeds
-goes to the library whole, so the ids always equal those of one plain call.
+its words in a row. Words repeat; each new one goes to the library once, many to a call, and is kept as the
+little-endian bytes of its ids. A text with white space that words can't stand for, or with the string of a special
+token, goes to the library whole, so the ids always equal those of one plain call.
 
 Tokenizer files are looked up by path on the executors; they are never copied.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words a worker keeps before it starts afresh (about 250 bytes each).
-CACHE_WORDS = 1_000_000
-#: Characters that close a word and are a pre-token of their own after a letter.
-CLOSING = ".,!?;:"
-_LONG_WORD = 400
-_encoders: dict[str, Encoder] = {}
+from candlework.llm.common import slices
+
+#: Known words, of about 50 bytes each, over which a worker forgets those it has used once.
+CACHE_WORDS = 1_500_000
+#: Rows and bytes of texts that are encoded together.
+SLICE_ROWS, SLICE_BYTES = 4096, 1 << 23
+#: New words in one call of the library.
+CALL_WORDS = 2000
+#: What keeps a word from being cut out of its text.
+ODD = re.compile(r"[^\S\n]|[\x00\x01]")
 
 
 def public_path(name: str) -> str:
@@ -31,101 +38,145 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_of(path: str, special_as_text: bool = False):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = special_as_text
+    return made
+
+
+def _gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ids[first : first + size], one after another."""
+    before = np.cumsum(size) - size
+    return ids[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+
+
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. Null is empty."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. Null is empty.
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The string of a special token in a text gives that token, as in a plain call; with ``special_as_text`` it is
+    text like any other.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, special_as_text: bool = False):
+        self.tokenizer = tokenizer_of(path, special_as_text)
         self.cache_words = cache_words
-        self.first: dict[str, bytes] = {}  # words at a line's start
-        self.after: dict[str, bytes] = {}  # words after a space
-        import json
-
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
-        if kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.split = self._spaced
-            self.newline = self._library(["\n"])[0]
-        elif kind["model"].get("end_of_word_suffix"):
-            self.split = self._ended
-        else:
-            self.split = lambda _: None
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, text: str):
-        """Lines of words when single spaces and line feeds are all the white space; else None."""
-        words = text.split()
-        return words if words and " ".join(words) == text.replace("\n", " ") else None
-
-    def _ended(self, text: str):
-        """White space is dropped, so any of it may separate; str.split also cuts at four controls that aren't."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        try:
-            text.encode("latin-1")  # here lower-casing is the same in every library
-        except UnicodeEncodeError:
-            return text.split()
-        return text.lower().split()
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = [w for w in words if w not in cache]
-        stems, rest = {}, []
-        for w in new:
-            stem = w.rstrip(CLOSING)
-            if stem and stem != w and stem[-1].isalpha():
-                stems[w] = stem
-            else:
-                rest.append(w)
-        rest = list(dict.fromkeys(rest + [s for s in stems.values() if s not in cache]))
-        cache.update(zip(rest, self._library([prefix + w for w in rest]), strict=True))
-        closings = list({w[len(s) :] for w, s in stems.items()})
-        ends = dict(zip(closings, self._library(closings), strict=True))
-        cache.update({w: cache[s] + ends[w[len(s) :]] for w, s in stems.items()})
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cut = [self.split(t) if t else None for t in texts]
-        whole = [i for i, (t, w) in enumerate(zip(texts, cut, strict=True)) if t and w is None]
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.first) + len(self.after) > self.cache_words:
-            self.first.clear()
-            self.after.clear()
-        words: set[str] = set()
-        for w in cut:
-            if w:
-                words.update(w)
-        long = {w for w in words if len(w) > _LONG_WORD}  # not worth keeping
-        self._learn(self.after, words, " " if self.split == self._spaced else "")
-        get = self.after.__getitem__
-        if self.split == self._spaced:
-            lines = {i: texts[i].split("\n") for i, w in enumerate(cut) if w}
-            self._learn(self.first, {line.partition(" ")[0] for x in lines.values() for line in x}, "")
-            for i, x in lines.items():
-                parts: list[bytes] = []
-                for line in x:
-                    first, *others = line.split(" ")
-                    parts.append(self.first[first])
-                    parts.extend(map(get, others))
-                    parts.append(self.newline)
-                out[i] = b"".join(parts[:-1])
+        spaced = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        ended = bool(kind["model"].get("end_of_word_suffix"))
+        self.specials = [] if special_as_text else [t["content"] for t in kind["added_tokens"]]
+        self.cut = self._spaced if spaced else self._ended if ended else None
+        #: What stands between words in a call: of one id that no word has.
+        self.between = "\n" if spaced else " \x01 "
+        self.skip = int(bool(spaced))
+        if self.cut and len(mark := self._library([self.between])[0]) == 1:
+            self.mark = mark[0]
         else:
-            for i, w in enumerate(cut):
-                if w:
-                    out[i] = b"".join(map(get, w))
-        for w in long:
-            self.after.pop(w, None)
-            self.first.pop(w, None)
+            self.cut = None
+        # known words, where their ids are, which can't be cut out of a text, and in how many calls each was used
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.first, self.size, self.odd, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, texts: pa.Array) -> pa.ListArray:
+        """Words after a space as they are, the first of a line with a line feed before it; so the first line has one too many."""
+        return pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n"), " ")
+
+    def _ended(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts)
+
+    def _odd(self, words: pa.Array) -> np.ndarray:
+        """Which are not one word that stands for itself in any text."""
+        odd = pc.is_in(words, pa.array(["", "\n"] if self.skip else [""])).to_numpy(zero_copy_only=False)
+        joined = "\n".join(words.to_pylist())
+        if ODD.search(joined) or any(s.lower() in joined.lower() for s in self.specials):
+            odd |= np.array([bool(ODD.search(w)) or any(s.lower() in w.lower() for s in self.specials) for w in words.to_pylist()], bool)
+        return odd
+
+    def _learn(self, words: pa.Array) -> None:
+        """Add new words, many to a call of the library."""
+        odd = self._odd(words)
+        plain = words.filter(pa.array(~odd))
+        if self.skip:
+            plain = pc.if_else(pc.starts_with(plain, "\n"), plain, pc.binary_join_element_wise("\n ", plain, ""))
+        edges = [*range(0, len(plain), CALL_WORDS), len(plain)]
+        calls = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), plain), "" if self.skip else self.between).to_pylist() if len(plain) else []
+        at, firsts, sizes, parts = len(self.ids), [], [], []
+        for text, a, b in zip(calls, edges, edges[1:], strict=False):
+            (ids,) = self._library([text])
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != b - a - (not self.skip):
+                raise AssertionError("words of one call can't be told apart")
+            begin = marks if self.skip else np.concatenate([[0], marks + 1])
+            end = np.concatenate([marks[1:] if self.skip else marks, [len(ids)]])
+            firsts.append(at + begin)
+            sizes.append(end - begin)
+            parts.append(ids)
+            at += len(ids)
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if parts:
+            first[~odd], size[~odd] = np.concatenate(firsts), np.concatenate(sizes)
+        if self.skip:  # the line feed belongs to words that begin with one
+            spaced = ~odd & ~pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+            first[spaced] += 1
+            size[spaced] -= 1
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.first, self.size, self.odd = np.concatenate([self.first, first]), np.concatenate([self.size, size]), np.concatenate([self.odd, odd])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def _forget(self) -> None:
+        """Keep the words that were used in several calls; none, if those are too many still."""
+        stay = self.used > 1
+        if 2 * np.count_nonzero(stay) > self.cache_words:
+            stay[:] = False
+        self.words, self.odd = self.words.filter(pa.array(stay)), self.odd[stay]
+        self.ids, self.size = _gather(self.ids, self.first[stay], self.size[stay]), self.size[stay]
+        self.first, self.used = np.cumsum(self.size) - self.size, np.zeros(len(self.size), np.int32)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, new ones learned."""
+        if len(self.words) > self.cache_words:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words)
+        out, known = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64), len(self.words)
+        new = pc.is_null(at)
+        if at.null_count:
+            self._learn(words.filter(new))
+            out[new.to_numpy(zero_copy_only=False)] = known + np.arange(at.null_count)
+        self.used[out] += 1
+        return out
+
+    def encode(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if self.cut is None or not len(texts):
+            return [x.tobytes() for x in self._library(texts.to_pylist())]
+        cut = self.cut(texts)
+        keyed = cut.flatten().dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        place = self._places(keyed.dictionary)[keyed.indices.to_numpy()]
+        size = self.size[place]
+        raw = _gather(self.ids, self.first[place], size).tobytes()
+        edge = 4 * np.concatenate([[0], np.cumsum(size)])[ends]
+        out = [raw[a + 4 * self.skip : b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        lone = np.zeros(len(texts), bool)
+        lone[np.searchsorted(ends[1:], np.flatnonzero(self.odd[place]), side="right")] = True
+        for special in self.specials:
+            lone |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(lone).tolist()
+        for i, x in zip(whole, self._library([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = x.tobytes()
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
     if path not in _encoders:
@@ -137,7 +188,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, te
     """Each batch with the ids of its texts, ``end_id`` appended to each."""
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     for batch in batches:
-        yield batch, [x + end for x in encoder(path).encode(batch.column(text).to_pylist())]
+        for part in slices(batch, text, SLICE_ROWS, SLICE_BYTES):
+            yield part, [x + end for x in encoder(path).encode(part.column(text))]
 
 
 def crc(ids: bytes) -> int:
