@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlework.llm import rans
-from candlework.llm.common import read, shared_folder, small_batches, spool
+from candlework.llm.common import read, shared_folder, spool
 from candlework.llm.tokens import crc, encoded, public_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -30,20 +30,22 @@ BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 23
 BLOCKS = "shard int, block int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, data binary"
 
 
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(ids: bytes) -> bytes:
     x = np.frombuffer(ids, "<u4")
     narrow = not len(x) or int(x.max()) < 1 << 16
-    return (b"\2" if narrow else b"\4") + zstandard.ZstdCompressor(level=1).compress((x.astype("<u2") if narrow else x).tobytes())
+    return (b"\2" if narrow else b"\4") + _SQUEEZE.compress((x.astype("<u2") if narrow else x).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u2" if data[0] == 2 else "<u4").astype(np.int64)
+    return np.frombuffer(_EXPAND.decompress(data[1:]), "<u2" if data[0] == 2 else "<u4").astype(np.int64)
 
 
 def tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
     """doc_id, n_tokens and packed ids of every whole text; null is empty."""
     path = tokenizer or public_path(TOKENIZER)
-    small_batches(docs.sparkSession)
 
     def encode(batches):
         for batch, ids in encoded(batches, path, end_id):
@@ -70,7 +72,12 @@ def frequencies(toks: DataFrame) -> DataFrame:
 
 
 def write(toks: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write the file set of a token table (see tokens) into ``folder``."""
+    """Write the file set of a token table (see tokens) into ``folder``.
+
+    Rows come in the order of doc_id, null first; those of one doc_id by their number of tokens, then by ``tie`` (any
+    stored number of the row, so that many rows of one doc_id can be dealt to several tasks), then by their ids. Repeated
+    rows are written as often as they are there; an empty table gives a set without blocks.
+    """
     spark = toks.sparkSession
     total, rows = toks.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     frequencies(toks).write.parquet(f"{folder}/table")
@@ -102,8 +109,9 @@ def write(toks: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS, shard_
         if docs:
             yield block()
 
-    dealt = toks.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()) if rows else toks
-    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids").select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.parquet(f"{folder}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", *({"tie"} & {*toks.columns})]
+    dealt = toks.repartitionByRange(shards, *order) if rows else toks
+    dealt.sortWithinPartitions(*order, "ids").select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def _table(spark: SparkSession, folder: str) -> rans.Table:
@@ -116,24 +124,26 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     known = _table(spark, folder)
     shared = spark.sparkContext.broadcast((known.ids, known.freq.astype(np.int64)))
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    sizes = blocks.groupBy("shard", "block").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("within"))
+    starts = sizes.join(shards, "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("base"))
 
     def decode(batches):
         table = rans.Table(*shared.value)
         for batch in batches:
-            for base, docs, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("base", "doc_ids", "doc_tokens", "data")), strict=True):
+            for i in range(batch.num_rows):
+                base, docs, lengths, data = (batch.column(c)[i].as_py() for c in ("base", "doc_ids", "doc_tokens", "data"))
                 ids = rans.decode(data, table).astype("<u4")
                 ends = np.cumsum(np.array(lengths, np.int64))
                 crcs = [crc(ids[b - n : b].tobytes()) for b, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + ends - np.array(lengths, np.int64), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return blocks.join(starts, ["shard", "block"]).select("base", "doc_ids", "doc_tokens", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write(spool(tokens(read(spark, sf_dir, "documents")), "ids"), folder)
+    write(spool(tokens(read(spark, sf_dir, "documents")).withColumn("tie", F.monotonically_increasing_id()), "ids"), folder)
     return read_back(spark, folder)
