@@ -12,14 +12,15 @@ Sorting. The runs of many grams are joined into one text and its suffix array is
 suffixes smaller than their successors are sorted directly, by their first ``length`` bytes; all others are induced by
 one scan over the buckets of first bytes. Adjacent suffixes whose common prefix reaches ``length`` repeat.
 
-Skew. A gram with more than HOT runs of different bytes (a passage in a large part of all documents, whose
-surroundings differ) is not sorted in one task: its strings are counted by a 128-bit hash of all their bytes,
+Skew. A gram with more than HOT runs of different bytes, or HOT_BYTES of them (a passage in a large part of all
+documents, whose surroundings differ, or long periodic texts) is not sorted in one task: its strings are counted by a 128-bit hash of all their bytes,
 so nothing is capped. Classes, too, are counted by partial aggregates and joined back, never gathered.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, small_batches, spool
+from candlework.llm.common import read, slices, spool
 
 LENGTH, GRAM = 200, 24
-#: Runs with different bytes under one gram, over which strings are routed anew.
-HOT = 2000
+#: Runs with different bytes under one gram, and their bytes, over which strings are routed anew.
+HOT, HOT_BYTES = 2000, 1 << 23
 #: Bytes joined for one suffix array.
 SHARD_BYTES = 1 << 21
 _BLOCK = 1 << 19
@@ -91,14 +92,35 @@ def runs(data: bytes, length: int = LENGTH, gram: int = GRAM):
     return tuple(map(np.concatenate, (out_h, out_lo, out_hi, out_n)))
 
 
-def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ``at`` sorted by their first ``depth`` bytes, eight at a time; only ties go on."""
+def symbols(text: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """A number for the next bytes of every position, in their order, and how many bytes it stands for.
+
+    Zeros follow the text. Eight bytes are a number as they are; the ranks of so many as fit are joined into one.
+    """
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(depth + 72, np.uint8)])
+    words = np.zeros(n + depth + 64, np.uint64)
+    for k in range(8):
+        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(56 - 8 * k)
+    if depth < 16:
+        return words, 8
+    known, rank = np.unique(words, return_inverse=True)
+    bits = max(1, (len(known) - 1).bit_length())
+    take = max(1, min(64 // bits, depth // 8, 8))
+    rank, wide = rank.reshape(-1).astype(np.uint64), np.zeros(n + depth, np.uint64)
+    for k in range(take):
+        wide |= rank[8 * k : 8 * k + len(wide)] << np.uint64(bits * (take - 1 - k))
+    return wide, 8 * take
+
+
+def _direct(words: np.ndarray, step: int, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes ``at`` sorted by their first ``depth`` bytes, ``step`` at a time; only ties go on."""
     if not len(at):
         return at
     order = at[np.argsort(words[at], kind="stable")]
     group = np.cumsum(np.concatenate([[0], words[order][1:] != words[order][:-1]]))
     live = np.arange(len(order))
-    for k in range(8, depth, 8):
+    for k in range(step, depth, step):
         size = np.bincount(group)
         more = size[group] > 1
         live, group = live[more], group[more]
@@ -113,19 +135,15 @@ def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of ``text`` in the order of their first ``depth`` bytes at least, in two stages."""
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray, width: int) -> np.ndarray:
+    """All suffixes of ``text`` in the order of their first ``depth`` bytes at least, in two stages; words from symbols()."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     step = np.concatenate([np.sign(np.diff(text.astype(np.int16))), [-1]])  # the last is larger than the empty suffix
     turn = np.where(step != 0, np.arange(n), n)
     small = step[np.minimum.accumulate(turn[::-1])[::-1]] > 0
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
-    words = np.zeros(n + depth + 8, np.uint64)
-    for k in range(8):
-        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    direct = _direct(words, np.flatnonzero(small), depth)
+    direct = _direct(words, width, np.flatnonzero(small), depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     same = np.concatenate([[False], text[1:] == text[:-1]])
     start = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # of the run of equal bytes that a position is in
@@ -155,14 +173,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefix_reaches(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+def common_prefix_reaches(text: np.ndarray, words: np.ndarray, width: int, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffixes at a and b agree on their first ``length`` bytes (both have them)."""
     live = np.arange(len(a))
-    for k in range(0, length, 8):
-        for j in range(k, min(k + 8, length)):
-            if not len(live):
-                break
-            live = live[text[a[live] + j] == text[b[live] + j]]
+    places = [*range(0, length - width, width), length - width] if width <= length else []
+    for j in places:
+        live = live[words[a[live] + j] == words[b[live] + j]]
+    for j in range(0 if places else length):
+        live = live[text[a[live] + j] == text[b[live] + j]]
     out = np.zeros(len(a), bool)
     out[live] = True
     return out
@@ -177,9 +195,10 @@ def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
     np.add.at(inside, starts, 1)
     np.add.at(inside, np.maximum(starts, starts + sizes - length + 1), -1)
     valid = np.cumsum(inside)[:-1] > 0
-    order = suffix_array(text, length)
+    words, width = symbols(text, length)
+    order = suffix_array(text, length, words, width)
     order = order[valid[order]]
-    same = common_prefix_reaches(text, order[:-1], order[1:], length)
+    same = common_prefix_reaches(text, words, width, order[:-1], order[1:], length)
     found = np.zeros(len(text), bool)
     found[order[:-1][same]] = True
     found[order[1:][same]] = True
@@ -205,39 +224,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, tag, lo, hi): starts of strings that occur elsewhere too, as inclusive ranges that may overlap."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def anchors(batches):
-        for batch in batches:
-            for i, t, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h, lo, hi, places = runs(data, length, gram)
-                if len(h):
-                    view = memoryview(data)
-                    sh = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int64()), pa.array(np.full(len(h), t), pa.int64()), pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(places > 1)], names=["id", "tag", "h", "sh", "lo", "hi", "own"])
+        for i, t, data in _rows(batches, "data"):
+            h, lo, hi, places = runs(data, length, gram)
+            if len(h):
+                view = memoryview(data)
+                sh = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int64()), pa.array(np.full(len(h), t), pa.int64()), pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(places > 1)], names=["id", "tag", "h", "sh", "lo", "hi", "own"])
 
     found = spool(_keyed(docs).mapInArrow(_merged(anchors), "id long, tag long, h long, sh long, lo int, hi int, own boolean"), "runs")
     classes = found.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"), F.min(F.struct("id", "tag", "lo", "hi")).alias("rep"))
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.max("own").alias("own")).where("runs > 1 or own")
     classes = spool(classes.join(shared.select("h"), "h", "left_semi"), "classes")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("own") & (F.col("n") == 1)).alias("own")).where("m > 1 or own")
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("own") & (F.col("n") == 1)).alias("own"), F.sum(F.col("rep.hi") - F.col("rep.lo") + length).alias("bytes")).where("m > 1 or own")
     whole = found.join(classes.where("n > 1").select("h", "sh"), ["h", "sh"], "left_semi").select("id", "tag", "lo", "hi")
 
-    wanted = classes.join(several, "h").select("rep.*", "h", (F.col("m") > hot).alias("hot"))
+    wanted = classes.join(several, "h").select("rep.*", "h", ((F.col("m") > hot) | (F.col("bytes") > HOT_BYTES)).alias("hot"))
     wanted = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi", "h", "hot")).alias("wanted"))
 
     def cut(batches):
-        for batch in batches:
-            for i, t, data, ask in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rows = []
-                for x in ask:
-                    if not x["hot"]:
-                        rows.append((i, t, x["h"], x["lo"], data[x["lo"] : x["hi"] + length], None))
-                        continue
-                    for p in range(x["lo"], x["hi"] + 1):
-                        w = xxhash.xxh3_128_digest(data[p : p + length])
-                        rows.append((i, t, int.from_bytes(w[:8], "big", signed=True), p, None, int.from_bytes(w[8:], "big", signed=True)))
-                yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], ["id", "tag", "h", "lo", "data", "w"])
+        for i, t, data, ask in _rows(batches, "data"):
+            rows = []
+            for x in ask:
+                if not x["hot"]:
+                    rows.append((i, t, x["h"], x["lo"], data[x["lo"] : x["hi"] + length], None))
+                    continue
+                for p in range(x["lo"], x["hi"] + 1):
+                    w = xxhash.xxh3_128_digest(data[p : p + length])
+                    rows.append((i, t, int.from_bytes(w[:8], "big", signed=True), p, None, int.from_bytes(w[8:], "big", signed=True)))
+            yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], ["id", "tag", "h", "lo", "data", "w"])
 
     asked = _keyed(docs).join(wanted, ["id", "tag"]).select("id", "tag", "data", "wanted")  # equal rows answer twice, which is harmless: all their strings repeat
     pieces = spool(asked.mapInArrow(_merged(cut, 5_000), "id long, tag long, h long, lo int, data binary, w long"), "pieces")
@@ -250,13 +266,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             rows = [(i, t, a, b) for (i, t, _, lo, _), f in zip(held, flags, strict=True) for a, b in _spans(f, lo)]
             return _batch(rows, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["id", "tag", "lo", "hi"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if size > SHARD_BYTES and held[-1][2] != row[2]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+        for row in _rows(batches, "data"):
+            if size > SHARD_BYTES and held[-1][2] != row[2]:
+                yield flush()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
         if held:
             yield flush()
 
@@ -268,6 +283,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     return whole.unionByName(plain).unionByName(again)
 
 
+def _rows(batches, text: str) -> Iterator[tuple]:
+    """The rows of batches, of which a bounded part is Python objects at a time."""
+    for batch in batches:
+        for part in slices(batch, text):
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 def _merged(f, rows: int = 50_000):
     """Join small batches of f into larger ones."""
 
@@ -314,12 +336,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Null text is empty. Rows that are equal, text and doc_id, repeat each other like any two rows.
     """
     marked = _marked(docs, length)
-    small_batches(docs.sparkSession)
 
     def cut(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, "data")):
             rows = []
-            for i, data, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, data, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 gone = merge_spans(spans or [], length)
                 rows.append((i, remaining(data, gone), len(data), sum(b - a for a, b in gone), len(gone)))
             yield _batch(rows, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], ["id", "data", "n_bytes", "n_removed", "n_spans"])
@@ -334,14 +355,13 @@ def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which only some bytes go, goes whole.
     """
     marked = _marked(docs, length)
-    small_batches(docs.sparkSession)
     columns = docs.columns
     wide = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tag": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     joined = wide.join(marked.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")), ["__id", "__tag"], "left").drop("__id", "__tag")
     schema = docs.schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             spans = batch.column("__spans").to_pylist()
             texts = [remaining(t.encode(), merge_spans(s, length)).decode(errors="ignore") if t is not None and s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
             new = {"text": pa.array(texts, pa.string())}
