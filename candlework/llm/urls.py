@@ -75,11 +75,13 @@ def train(rows: list[tuple[list[int], int]], buckets: int = BUCKETS) -> list[flo
 
 
 def labelled(urls: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """A bounded labelled table made from urls that a rule judges: buckets and label."""
+    """A bounded labelled table made from the distinct urls that a rule judges, the first by hash: buckets and label."""
     host, path = host_and_path(F.col("url"))
     judged = urls.select("url", host.alias("host"), path.alias("path"))
-    judged = judged.select("url", grams(F.col("host"), F.col("path")).alias("x"), (rule_for(F.col("host"), F.col("path"))[1] == "block").cast("int").alias("y"))
-    return judged.where("y is not null").orderBy(F.xxhash64("url"), "url").limit(rows).select("x", "y")
+    judged = judged.select("url", (rule_for(F.col("host"), F.col("path"))[1] == "block").cast("int").alias("y"), F.xxhash64("url").alias("h"))
+    # a task hands on no more than its first ``rows`` urls, short strings; a repeated url counts once
+    picked = judged.where("y is not null").groupBy("h", "url").agg(F.first("y").alias("y")).orderBy("h", "url").limit(rows)
+    return picked.select(grams(*host_and_path(F.col("url"))).alias("x"), "y")
 
 
 def score(x: Column, weights: list[float]) -> Column:
