@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, small_batches
+from candlework.llm.common import read, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -103,14 +103,13 @@ BASE = ("too_short", "repeated_words")
 
 def costs(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, sample: int = SAMPLE) -> list[tuple[str, float, float]]:
     """Of each rule its CPU seconds a text and the share it rejects, on about ``sample`` texts picked by hash."""
-    small_batches(docs.sparkSession)
     every = max(1, docs.count() // sample)
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         spent, rejected, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in (part for batch in batches for part in slices(batch)):
+            for text in part.column(0).to_pylist():
                 n += 1
                 for name, rule in rules.items():
                     t0 = time.thread_time()
@@ -135,10 +134,9 @@ def _order(docs: DataFrame, rules) -> list[str]:
 def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES) -> DataFrame:
     """The rows that no rule rejects, all columns as they are."""
     order = [rules[r] for r in _order(docs, rules)]
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             good = [not any(rule(t) for rule in order) for t in map(Text, batch.column("text").to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
@@ -148,10 +146,9 @@ def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES) -> D
 def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, base: tuple[str, ...] = BASE) -> DataFrame:
     """doc_id, the measures, whether a base rule rejects, whether all keep, and the rule that rejected first."""
     order = [r for r in _order(docs, rules) if r not in base]
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             rows = []
             for text in batch.column("text").to_pylist():
                 t = Text(text)
@@ -165,4 +162,4 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, bas
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents"))
+    return judge(read(spark, sf_dir, "documents")).drop("rejected_by")  # which rule comes first follows measured times
