@@ -18,7 +18,9 @@ compared block against block. Links then meet in components().
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, small_batches, spool
+from candlework.llm.common import read, slices, spool
 from candlework.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -35,37 +37,39 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 PARTS = 4
 #: Fingerprints that the routing trees are grown on, in a shard, and in a leaf.
 SAMPLE, SHARD, LEAF = 4096, 1 << 18, 512
-_CHUNK = 1 << 16
+_CHUNK = 1 << 12
 
 
-def shingles(text: str | None, size: int) -> list[bytes]:
+def shingles(text: str | None, size: int) -> Iterator[bytes]:
     """Word shingles of a text in lower case (A-Z only), space-joined, repeats included; a shorter text is one."""
     words = (text or "").encode().lower().split()
     if len(words) < size:
-        return [b" ".join(words)] if words else []
-    joined = b" ".join(words)
+        yield from [b" ".join(words)] if words else []
+        return
+    joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    return [joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+    for i in range(0, len(words) - size + 1, _CHUNK):
+        last = min(i + _CHUNK, len(words) - size + 1)
+        yield from (joined[a:b] for a, b in zip(starts[i:last].tolist(), (ends[i + size - 1 : last + size - 1] - 1).tolist(), strict=True))
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    found = shingles(text, size)
-    ones = np.zeros(64, np.int64)
+    ones, total = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_digest
-    for i in range(0, len(found), _CHUNK):
-        raw = b"".join([digest(s, SEED) for s in found[i : i + _CHUNK]])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big") if found else 0
+    for some in batched(shingles(text, size), _CHUNK):
+        raw = np.frombuffer(b"".join([digest(s, SEED) for s in some]), np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(some)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, size) for part in slices(batch) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -277,9 +281,9 @@ def similarity(a: str | None, b: str | None, size: int = DROP_SHINGLE) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
-@lru_cache(32)
+@lru_cache(4)
 def _shingle_set(text: str | None, size: int) -> frozenset[bytes]:
-    return frozenset(shingles(text, size))
+    return frozenset(map(bytes, shingles(text, size)))
 
 
 _MIX = np.random.default_rng(SEED).integers(1 << 62, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
@@ -302,7 +306,6 @@ def minhashes(text: str | None, size: int = DROP_SHINGLE) -> np.ndarray | None:
 
 def _classes(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, high and low (a 128-bit hash of the words in a row), keys (of each band) and sig (a byte of each minhash)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -403,3 +406,183 @@ def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float
     if again.isEmpty():
         return kept
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+#: One permutation of a text's shingles in so many bins, a byte of the least in each: estimates a similarity with a standard
+#: error of 0.013 at most. FOLD bins in a row are one in a first, coarser look, of 0.027.
+BINS, FOLD = 1024, 4
+#: How far below the similarity asked for these estimates may be: over three and a half standard errors.
+SKETCH_SLACK, COARSE_SLACK = 0.05, 0.1
+#: Likeliest partners in other groups that are judged for each text, round by round; the last judges all.
+ROUNDS = (2, 8, None)
+#: Members of a bucket that meet in a task, and rows of buckets in a task.
+BLOCK, TASK_ROWS = 2048, 4096
+
+
+def sketch(text: str | None, size: int = DROP_SHINGLE) -> bytes:
+    """A byte for each bin that a shingle falls into, zero for the others."""
+    digest, out = xxhash.xxh3_64_digest, np.zeros(BINS, np.uint8)
+    h = np.sort(np.frombuffer(b"".join([digest(s, SEED + 1) for s in _shingle_set(text, size)]), ">u8"))
+    at, first = np.unique(h >> np.uint64(54), return_index=True)
+    out[at.astype(np.int64)] = 1 + (h[first] & np.uint64(0xFFFF)).astype(np.int64) % 255
+    return out.tobytes()
+
+
+def folded(sig: np.ndarray) -> np.ndarray:
+    """The sketches with FOLD bins joined: the first that is not empty holds the least of them."""
+    parts = sig.reshape(len(sig), -1, FOLD)
+    return np.take_along_axis(parts, (parts > 0).argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of sketches, each of a with each of b."""
+    same = np.zeros((len(a), len(b)), np.int16)
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for p, q in zip(x, y, strict=True):
+        same += (p[:, None] == q[None, :]) & (p[:, None] > 0)
+    u, v = (a > 0).astype(np.float32), (b > 0).astype(np.float32)
+    either = u.sum(axis=1)[:, None] + v.sum(axis=1)[None, :] - u @ v.T
+    return same / np.maximum(either, 1)
+
+
+def estimate_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of sketches, row by row."""
+    same, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+    return same / np.maximum(either, 1)
+
+
+def _rows_of_texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+
+
+def _banded(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, tag, high and low (a 128-bit hash of the words in a row), keys (of each band)."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = batch.column("text").to_pylist()
+            name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts), np.int64).reshape(-1, 2)
+            keys = []
+            for t in texts:
+                least = minhashes(t, size)
+                raw = b"" if least is None else least.tobytes()
+                keys.append([xxhash.xxh3_64_intdigest(raw[8 * BAND_ROWS * b : 8 * BAND_ROWS * (b + 1)], b) - (1 << 63) for b in range(BANDS if raw else 0)])
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "high", "low", "keys"])
+
+    return rows.mapInArrow(run, "doc_id long, tag long, high long, low long, keys array<long>")
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """node, tag, sig."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            sigs = [sketch(t, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sigs, pa.binary())], names=["node", "tag", "sig"])
+
+    return texts.select("doc_id", "tag", "text").mapInArrow(run, "node long, tag long, sig binary")
+
+
+def _open_pairs(members: DataFrame, least: float, most: int | None) -> DataFrame:
+    """(u, ut, v, vt): texts of one key in different groups that may be ``least`` similar by their sketches.
+
+    ``members`` has key, band, node, tag, root, keys, sig and n (members of the key). Of each text the ``most`` likeliest. A pair is
+    made by the first band on which it agrees only; a key of many members is compared block against block.
+    """
+    cut = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, other = F.pmod(F.xxhash64("node", "tag"), cut).cast("int"), F.explode(F.sequence(F.lit(0), cut - 1))
+    cells = members.withColumn("own", own).withColumn("other", other).withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn("mixed", F.col("own") != F.col("other"))
+    slots = max(1, -(-members.count() // TASK_ROWS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "node", "tag"]).reset_index(drop=True)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BINS)
+        rough, keys = folded(sig), np.array(pdf["keys"].tolist(), np.int64)
+        root, cell, block, band = (pdf[c].to_numpy(np.int64) for c in ("root", "cell", "own", "band"))
+        across = pd.Series(pdf["mixed"].to_numpy(bool)).groupby(cell).transform("any").to_numpy()  # a cell of two blocks has their pairs only
+        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(pdf)]
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            for k in range(i, j, 256):
+                rows = np.arange(k, min(k + 256, j))
+                like = estimates(rough[rows], rough[i:j])
+                like[root[rows][:, None] == root[None, i:j]] = -1
+                if across[i]:
+                    like[block[rows][:, None] == block[None, i:j]] = -1
+                a, b = np.nonzero(like >= least - COARSE_SLACK)
+                a, b = rows[a], i + b
+                for at in range(0, len(a), 1 << 15):
+                    p, q = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                    close = estimate_pairs(sig[p], sig[q])
+                    good = (close >= least - SKETCH_SLACK) & ((keys[p] == keys[q]).argmax(axis=1) == band[i])
+                    p, q, close = p[good], q[good], close[good]
+                    if most:
+                        order = np.lexsort((-close, p))
+                        p, q = p[order], q[order]
+                        place = np.arange(len(p)) - np.searchsorted(p, p)
+                        p, q = p[place < most], q[place < most]
+                    out.append(np.sort(np.stack([p, q], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        u, v = pdf.iloc[pairs[:, 0]], pdf.iloc[pairs[:, 1]]
+        return pd.DataFrame({"u": u["node"].to_numpy(), "ut": u["tag"].to_numpy(), "v": v["node"].to_numpy(), "vt": v["tag"].to_numpy()})
+
+    dealt = cells.withColumn("slot", F.pmod("cell", F.lit(slots))).select("slot", "cell", "mixed", "own", "band", "node", "tag", "root", "keys", "sig")
+    return dealt.groupBy("slot").applyInPandas(run, "u long, ut long, v long, vt long")
+
+
+def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY) -> DataFrame:
+    """(node, root): texts whose shingles are at least ``least`` similar are linked; root is the smallest doc_id reachable.
+
+    Only doc_ids in a group with others have a row. Texts of the same words are one, with its smallest doc_id as its node; a
+    doc_id on several texts joins them. Texts without words are equal. Rows without a doc_id take no part.
+    Pairs that agree on a band of minhashes are judged on their texts: first each with the smallest of its bucket, then,
+    where a bucket still has several groups, each with its likeliest partners in other groups, at last with all of
+    them. Pairs within a group are never made, so a large group of near-copies costs a few links for each text.
+    """
+    rows = _rows_of_texts(docs)
+    named = spool(_banded(rows, size), "banded")
+    classes = spool(named.groupBy("high", "low").agg(F.min(F.struct("doc_id", "tag", "keys")).alias("rep")), "classes")
+    members = named.select("doc_id", "high", "low").distinct().join(classes.select("high", "low", F.col("rep.doc_id").alias("node")), ["high", "low"])
+    links = spool(members.where("doc_id != node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")), "copies")
+    every = classes.select(F.posexplode("rep.keys").alias("band", "key"), F.col("rep.doc_id").alias("node"), F.col("rep.tag").alias("tag"))
+    shared = every.groupBy("key").agg(F.min(F.struct("node", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = spool(every.join(shared, "key"), "buckets")
+    texts = spool(rows.join(buckets.select(F.col("node").alias("doc_id"), "tag").distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]), "texts")
+
+    keys = classes.select(F.col("rep.doc_id").alias("node"), F.col("rep.tag").alias("tag"), F.col("rep.keys").alias("keys"))
+    sketches = spool(_sketches(texts, size).join(keys, ["node", "tag"]), "sketches")
+
+    def judge(batches):
+        for batch in (part for whole in batches for part in slices(whole, "a")):
+            same = [similarity(a, b, size) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    def judged(two: DataFrame) -> DataFrame:
+        a = texts.select(F.col("doc_id").alias("u"), F.col("tag").alias("ut"), F.col("text").alias("a"))
+        b = texts.select(F.col("doc_id").alias("v"), F.col("tag").alias("vt"), F.col("text").alias("b"))
+        return spool(two.join(a, ["u", "ut"]).join(b, ["v", "vt"]).select("u", "v", "a", "b").mapInArrow(judge, "u long, v long").distinct(), "alike")
+
+    links = links.unionByName(judged(buckets.where("first.node != node or first.tag != tag").select(F.col("first.node").alias("u"), F.col("first.tag").alias("ut"), F.col("node").alias("v"), F.col("tag").alias("vt")).distinct()))
+    for most in ROUNDS:
+        state = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+        still = spool(state.join(several, "key", "left_semi").select("key", "band", "node", "tag", "root", "n").join(sketches, ["node", "tag"]), "open")
+        links = links.unionByName(judged(_open_pairs(still, least, most)))
+    return components(links)
+
+
+def one_of_each(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY) -> DataFrame:
+    """One document of each group of near-duplicates (see groups), the smallest doc_id, all columns as they are.
+
+    Of rows that share that doc_id one with the smallest text stays, null first. Rows without a doc_id stay all.
+    """
+    gone = groups(docs, size, least).where("node != root").select(F.col("node").alias("doc_id"))
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return stay
+    least_text = stay.join(again, "doc_id", "left_semi").select(docs.columns)
+    first = least_text.groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", F.col("t.text").alias("__text"))
+    same = least_text.join(first, "doc_id").where(F.col("text").eqNullSafe(F.col("__text"))).select(docs.columns).dropDuplicates(["doc_id"])
+    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(same)
