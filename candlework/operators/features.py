@@ -117,6 +117,8 @@ def steps(min_bars: int = 70) -> list[tuple[str, str]]:
 
 
 STEPS = steps()
+#: Bars that the option engine asks of a ticker, and features that read the sequential averages.
+OPTION_BARS, SEQUENTIAL = 25, ("rsi_14", "close_vs_ema9", "close_vs_ema21")
 
 #: DuckDB's way to the sequential averages: a recursion over each ticker's bars.
 EMA_SQL = [
@@ -177,5 +179,10 @@ def values(bars: DataFrame, min_bars: int = 70) -> DataFrame:
 
 
 def state_counts(bars: DataFrame, key: str, option: bool = False) -> DataFrame:
-    """How often a ticker is in each state of a feature. Only what the feature needs is computed."""
-    return run(bars.sparkSession, STEPS, state_count_final(key, option), bars=bars, ema=sequential(bars))
+    """How often a ticker is in each state of a feature. The recursion over a ticker's days runs only for features that read it.
+
+    Tickers need 70 bars, for the option engine 25.
+    """
+    spark = bars.sparkSession
+    ema = sequential(bars) if key in SEQUENTIAL else spark.createDataFrame([], "ticker string, trade_date date, ema9 double, ema21 double, rsi14 double")
+    return run(spark, steps(OPTION_BARS) if option else STEPS, state_count_final(key, option), bars=bars, ema=ema)

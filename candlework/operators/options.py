@@ -53,7 +53,7 @@ def spot_steps(root: str = "ticker"):
     """Underlying bars with all that signals look at, and the first bar at or after each holding time."""
     mas = ", ".join(f"CASE WHEN rn >= {n} THEN avg(close) OVER ({BY_BAR} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS ma{n}, CASE WHEN rn >= {n + 1} THEN avg(close) OVER ({BY_BAR} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS pma{n}" for n in (5, 10, 20, 50))
     lags = ", ".join(f"lag(close, {k}) OVER ({BY_BAR}) AS c{k}" for k in (1, 2, 3, 5))
-    ahead = ", ".join(f"min(trade_date) OVER (PARTITION BY ticker ORDER BY day RANGE BETWEEN {h} FOLLOWING AND UNBOUNDED FOLLOWING) AS exit{h}" for h in HOLDS)
+    ahead = ", ".join(f"min(trade_date) OVER (PARTITION BY ticker ORDER BY day DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {h} PRECEDING) AS exit{h}" for h in HOLDS)
     return preferred_steps(root) + [
         ("u0", f"SELECT p.root, b.ticker, trade_date, open, close, days_between(trade_date, DATE '1970-01-05') AS day, row_number() OVER (PARTITION BY b.ticker ORDER BY trade_date) AS rn FROM bars b JOIN preferred p ON p.ticker = b.ticker"),
         ("spot", f"SELECT *, {lags}, {mas}, {ahead} FROM u0"),
@@ -81,20 +81,28 @@ def signal_steps(strategies: list[dict], start: str | None = None, end: str | No
     ]
 
 
+#: What a choice of contract turns on; many strategies share it, so each choice is made once.
+CHOICE = ("root", "trade_date", "option_side", "dte", "entry_rule", "exit_date")
 #: The contract: nearest target DTE at or over it, nearest strike, most traded, first symbol.
 PICK = [
+    ("wanted", f"SELECT DISTINCT {', '.join(CHOICE)}, spot_price FROM signals"),
     (
         "eligible",
-        "SELECT g.*, o.option_symbol, o.expiration_date, CASE WHEN g.entry_rule = 'open' THEN o.open ELSE o.close END AS entry_price, row_number() OVER (PARTITION BY g.strategy_code, g.root, g.trade_date ORDER BY days_between(o.expiration_date, o.trade_date) - g.dte, abs(o.strike_price - g.spot_price), o.trade_count DESC, o.volume DESC, o.option_symbol) AS place FROM signals g JOIN options o ON o.underlying_root = g.root AND o.trade_date = g.trade_date AND o.option_side = g.option_side WHERE days_between(o.expiration_date, o.trade_date) >= g.dte AND o.expiration_date >= g.exit_date AND CASE WHEN g.entry_rule = 'open' THEN o.open ELSE o.close END > 0",
+        f"SELECT w.*, o.option_symbol, o.expiration_date, CASE WHEN w.entry_rule = 'open' THEN o.open ELSE o.close END AS entry_price, row_number() OVER (PARTITION BY {', '.join('w.' + c for c in CHOICE)} ORDER BY days_between(o.expiration_date, o.trade_date) - w.dte, abs(o.strike_price - w.spot_price), o.trade_count DESC, o.volume DESC, o.option_symbol) AS place FROM wanted w JOIN options o ON o.underlying_root = w.root AND o.trade_date = w.trade_date AND o.option_side = w.option_side WHERE days_between(o.expiration_date, o.trade_date) >= w.dte AND o.expiration_date >= w.exit_date AND CASE WHEN w.entry_rule = 'open' THEN o.open ELSE o.close END > 0",
     ),
-    ("picked", "SELECT * FROM eligible WHERE place = 1"),
+    ("best", f"SELECT {', '.join(CHOICE)}, option_symbol, expiration_date, entry_price FROM eligible WHERE place = 1"),
+    ("picked", "SELECT g.*, b.option_symbol, b.expiration_date, b.entry_price FROM signals g JOIN best b ON " + " AND ".join(f"b.{c} = g.{c}" for c in CHOICE)),
 ]
 #: Exits: a timed one needs the contract's bar on the exit day; target and stop walk its bars on days of the underlying.
+#: A position's bars are walked once for all pairs of target and stop.
 EXIT = [
     ("timed", "SELECT p.*, x.trade_date AS out_date, x.close AS exit_price, 'time_exit' AS exit_reason, (x.close / p.entry_price - 1) * 100 AS move FROM picked p JOIN options x ON x.option_symbol = p.option_symbol AND x.trade_date = p.exit_date WHERE p.exit_kind = 'time' AND x.close > 0"),
-    ("held", "SELECT p.strategy_code, p.root, p.trade_date AS entry_date, p.option_symbol AS held_symbol, x.trade_date AS seen, x.high >= p.entry_price * (1 + p.tp / 100) AS at_target, x.low <= p.entry_price * (1 - p.sl / 100) AS at_stop FROM picked p JOIN options x ON x.option_symbol = p.option_symbol JOIN u0 ON u0.root = p.root AND u0.trade_date = x.trade_date WHERE p.exit_kind = 'target_stop' AND x.trade_date <= p.exit_date AND (x.trade_date > p.trade_date OR (x.trade_date = p.trade_date AND p.entry_rule = 'open'))"),
-    ("ended", "SELECT strategy_code, root, entry_date, held_symbol, coalesce(min(CASE WHEN at_target OR at_stop THEN seen END), max(seen)) AS out_date FROM held GROUP BY strategy_code, root, entry_date, held_symbol"),
-    ("touched", "SELECT p.*, e.out_date, h.at_target, h.at_stop, x.close AS last_close FROM picked p JOIN ended e ON e.strategy_code = p.strategy_code AND e.root = p.root AND e.entry_date = p.trade_date JOIN held h ON h.strategy_code = e.strategy_code AND h.root = e.root AND h.entry_date = e.entry_date AND h.seen = e.out_date JOIN options x ON x.option_symbol = e.held_symbol AND x.trade_date = e.out_date"),
+    ("pairs", "SELECT DISTINCT tp, sl FROM strategies WHERE exit_kind = 'target_stop'"),
+    ("positions", "SELECT DISTINCT root, trade_date, entry_rule, exit_date, option_symbol, entry_price FROM picked WHERE exit_kind = 'target_stop'"),
+    ("path", "SELECT p.root, p.trade_date, p.entry_rule, p.exit_date, p.option_symbol, p.entry_price, x.trade_date AS seen, x.high, x.low, x.close FROM positions p JOIN options x ON x.option_symbol = p.option_symbol JOIN u0 ON u0.root = p.root AND u0.trade_date = x.trade_date WHERE x.trade_date <= p.exit_date AND (x.trade_date > p.trade_date OR (x.trade_date = p.trade_date AND p.entry_rule = 'open'))"),
+    ("tested", "SELECT path.*, q.tp, q.sl, high >= entry_price * (1 + q.tp / 100) AS at_target, low <= entry_price * (1 - q.sl / 100) AS at_stop FROM path CROSS JOIN pairs q"),
+    ("ended", "SELECT root, trade_date, entry_rule, exit_date, option_symbol, tp, sl, coalesce(min(CASE WHEN at_target OR at_stop THEN seen END), max(seen)) AS out_date, min_by(at_target, CASE WHEN at_target OR at_stop THEN seen END) AS at_target, min_by(at_stop, CASE WHEN at_target OR at_stop THEN seen END) AS at_stop, max_by(close, seen) AS last_close FROM tested GROUP BY root, trade_date, entry_rule, exit_date, option_symbol, tp, sl"),
+    ("touched", "SELECT p.*, e.out_date, e.at_target, e.at_stop, e.last_close FROM picked p JOIN ended e ON e.root = p.root AND e.trade_date = p.trade_date AND e.entry_rule = p.entry_rule AND e.exit_date = p.exit_date AND e.option_symbol = p.option_symbol AND e.tp = p.tp AND e.sl = p.sl WHERE p.exit_kind = 'target_stop'"),
     (
         "trades",
         f"SELECT strategy_code, ticker, trade_date AS trigger_date, out_date AS exit_date, option_symbol, expiration_date, chg AS trigger_change_pct, entry_price, exit_price, exit_reason, {r('(exit_price / entry_price - 1) * 100 - cost', 9)} AS trade_return_pct, {r('move', 9)} AS asset_move_pct FROM (SELECT strategy_code, ticker, trade_date, out_date, option_symbol, expiration_date, chg, entry_price, exit_price, exit_reason, cost, move FROM timed UNION ALL SELECT strategy_code, ticker, trade_date, out_date, option_symbol, expiration_date, chg, entry_price, CASE WHEN at_stop THEN entry_price * (1 - sl / 100) WHEN at_target THEN entry_price * (1 + tp / 100) ELSE last_close END, CASE WHEN at_stop AND at_target THEN 'stop_loss_conflict' WHEN at_target THEN 'take_profit' WHEN at_stop THEN 'stop_loss' ELSE 'time_stop' END, cost, CASE WHEN at_stop THEN -sl WHEN at_target THEN tp ELSE (last_close / entry_price - 1) * 100 END FROM touched)",

@@ -73,21 +73,24 @@ TEST_GATE = GATE | {"avg_uplift": 0.5, "pf_uplift": 0.05, "trades": 60, "tickers
 def refine_steps(gate: dict = TEST_GATE, split: str = SPLIT):
     """From ``sets`` (two-state itemsets) and ``samples`` to ``refined``: metrics, reasons and the robustness score."""
     pf = lambda p: metrics.profit_factor(f"{p}gp", f"{p}gl")
-    gp, gl = "sum(CASE WHEN trade_return_pct > 0 AND {w} THEN trade_return_pct ELSE 0 END)", "sum(CASE WHEN trade_return_pct < 0 AND {w} THEN -trade_return_pct ELSE 0 END)"
+    x = "CAST(trade_return_pct AS DECIMAL(18, 9))"  # returns have nine digits: their sums are exact in any order
+    total = lambda what: f"CAST(sum({what}) AS DOUBLE)"
+    gp, gl = total(f"CASE WHEN trade_return_pct > 0 AND {{w}} THEN {x} ELSE 0 END"), total(f"CASE WHEN trade_return_pct < 0 AND {{w}} THEN -{x} ELSE 0 END")
     val, train = f"trade_date >= DATE '{split}'", f"trade_date < DATE '{split}'"
     g = gate
     strong = lambda x: f"coalesce({x}, 0) < {g['pf']}"
     tests = [(f"avg_uplift < {g['avg_uplift']}", "avg_uplift"), (f"coalesce(pf_uplift, 0) < {g['pf_uplift']}", "pf_uplift"), (f"n < {g['trades']}", "trades"), (f"tickers < {g['tickers']}", "tickers"), (f"train_n < {g['train']}", "train_trades"), (f"val_n < {g['val']}", "validation_trades"), (strong("train_pf"), "train_pf"), (strong("val_pf"), "validation_pf"), (f"months < {g['months']}", "months"), (f"positive_months * 1e0 / months < {g['months_ratio']}", "positive_months"), (f"val_months < {g['val_months']}", "validation_months"), (f"val_positive * 1e0 / nullif(val_months, 0) < {g['val_ratio']}", "validation_positive_months")]
+    # the robustness is of six-digit numbers and can end in a five: a nudge lets such a tie go up in any engine
     why = "concat_ws(';', " + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for t, n in tests) + ")"
     return [
-        ("baseline", f"SELECT template, CAST(count(*) AS BIGINT) AS base_n, {r('avg(trade_return_pct)')} AS base_avg, {r(metrics.profit_factor('sum(CASE WHEN trade_return_pct > 0 THEN trade_return_pct ELSE 0 END)', 'sum(CASE WHEN trade_return_pct < 0 THEN -trade_return_pct ELSE 0 END)'))} AS base_pf, min(trade_date) AS first_date, max(trade_date) AS last_date FROM samples GROUP BY template"),
+        ("baseline", f"SELECT template, CAST(count(*) AS BIGINT) AS base_n, {r(total(x) + ' / count(*)')} AS base_avg, {r(metrics.profit_factor(gp.format(w='true'), gl.format(w='true')))} AS base_pf, min(trade_date) AS first_date, max(trade_date) AS last_date FROM samples GROUP BY template"),
         ("pattern_trades", "SELECT s.template, g.itemset, s.ticker, s.trade_date, s.option_symbol, s.trade_return_pct FROM sets g JOIN samples s ON s.ticker = g.ticker AND s.trade_date = g.trade_date AND s.entry_rule = g.entry_rule"),
-        ("split_raw", f"SELECT template, itemset, count(*) AS n, count(DISTINCT ticker) AS tickers, avg(trade_return_pct) AS av, sum(trade_return_pct) AS net, {gp.format(w='true')} AS gp, {gl.format(w='true')} AS gl, sum(CASE WHEN {train} THEN 1 ELSE 0 END) AS train_n, {gp.format(w=train)} AS train_gp, {gl.format(w=train)} AS train_gl, sum(CASE WHEN {val} THEN 1 ELSE 0 END) AS val_n, {gp.format(w=val)} AS val_gp, {gl.format(w=val)} AS val_gl, avg(CASE WHEN {val} THEN trade_return_pct END) AS val_av, sum(CASE WHEN {val} THEN trade_return_pct ELSE 0 END) AS val_net FROM pattern_trades GROUP BY template, itemset"),
+        ("split_raw", f"SELECT template, itemset, count(*) AS n, count(DISTINCT ticker) AS tickers, {total(x)} / count(*) AS av, {total(x)} AS net, {gp.format(w='true')} AS gp, {gl.format(w='true')} AS gl, sum(CASE WHEN {train} THEN 1 ELSE 0 END) AS train_n, {gp.format(w=train)} AS train_gp, {gl.format(w=train)} AS train_gl, sum(CASE WHEN {val} THEN 1 ELSE 0 END) AS val_n, {gp.format(w=val)} AS val_gp, {gl.format(w=val)} AS val_gl, {total(f'CASE WHEN {val} THEN {x} END')} / nullif(sum(CASE WHEN {val} THEN 1 ELSE 0 END), 0) AS val_av, {total(f'CASE WHEN {val} THEN {x} ELSE 0 END')} AS val_net FROM pattern_trades GROUP BY template, itemset"),
         ("split", f"SELECT template, itemset, CAST(n AS BIGINT) AS n, CAST(tickers AS BIGINT) AS tickers, {r('av')} AS av, {r('net')} AS net, {r(pf(''))} AS pf, CAST(train_n AS BIGINT) AS train_n, {r(pf('train_'))} AS train_pf, CAST(val_n AS BIGINT) AS val_n, {r(pf('val_'))} AS val_pf, {r('val_av')} AS val_av, {r('val_net')} AS val_net FROM split_raw"),
-        ("by_month", f"SELECT template, itemset, extract(year FROM trade_date) * 100 + extract(month FROM trade_date) AS month, {r('sum(trade_return_pct)', 9)} AS net, max(CASE WHEN {val} THEN 1 ELSE 0 END) AS late FROM pattern_trades GROUP BY template, itemset, extract(year FROM trade_date) * 100 + extract(month FROM trade_date)"),
+        ("by_month", f"SELECT template, itemset, extract(year FROM trade_date) * 100 + extract(month FROM trade_date) AS month, {total(x)} AS net, max(CASE WHEN {val} THEN 1 ELSE 0 END) AS late FROM pattern_trades GROUP BY template, itemset, extract(year FROM trade_date) * 100 + extract(month FROM trade_date)"),
         ("monthly", "SELECT template, itemset, CAST(count(*) AS BIGINT) AS months, CAST(sum(CASE WHEN net > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_months, CAST(sum(late) AS BIGINT) AS val_months, CAST(sum(CASE WHEN net > 0 THEN late ELSE 0 END) AS BIGINT) AS val_positive FROM by_month GROUP BY template, itemset"),
         ("lifted", f"SELECT s.*, m.months, m.positive_months, m.val_months, m.val_positive, {r('s.av - b.base_avg')} AS avg_uplift, {r('s.pf - b.base_pf')} AS pf_uplift FROM split s JOIN monthly m ON m.template = s.template AND m.itemset = s.itemset LEFT JOIN baseline b ON b.template = s.template"),
-        ("refined", f"SELECT *, {why} AS reasons, {r('5 * avg_uplift + 20 * coalesce(pf_uplift, 0) + 3 * coalesce(val_av, 0) + 10 * coalesce(val_positive * 1e0 / nullif(val_months, 0), 0) + net / greatest(n, 1)')} AS robustness, CASE WHEN avg_uplift >= 1 AND pf_uplift >= 0.2 THEN 'specific' ELSE 'broad' END AS bucket FROM lifted"),
+        ("refined", f"SELECT *, {why} AS reasons, {r('5 * avg_uplift + 20 * coalesce(pf_uplift, 0) + 3 * coalesce(val_av, 0) + 10 * coalesce(val_positive * 1e0 / nullif(val_months, 0), 0) + net / greatest(n, 1) + 1e-9')} AS robustness, CASE WHEN avg_uplift >= 1 AND pf_uplift >= 0.2 THEN 'specific' ELSE 'broad' END AS bucket FROM lifted"),
         ("candidates", "SELECT * FROM refined WHERE reasons = ''"),
         ("keys", "SELECT DISTINCT t.template, t.itemset, t.ticker, t.trade_date, t.option_symbol FROM pattern_trades t JOIN candidates c ON c.template = t.template AND c.itemset = t.itemset"),
         ("key_counts", "SELECT template, itemset, count(*) AS n FROM keys GROUP BY template, itemset"),

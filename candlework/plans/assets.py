@@ -67,7 +67,7 @@ def summary(spark, sf_dir):
 QUERIES = {f"feat_{k}": partial(_feature, k, False) for k in features.KEYS}
 QUERIES |= {f"ofeat_{k}": partial(_feature, k, True) for k in features.OPTION_KEYS}
 ORACLE_SQL = {f"feat_{k}": oracle(features.EMA_SQL + features.STEPS, features.state_count_final(k)) for k in features.KEYS}
-ORACLE_SQL |= {f"ofeat_{k}": oracle(features.EMA_SQL + features.STEPS, features.state_count_final(k, True)) for k in features.OPTION_KEYS}
+ORACLE_SQL |= {f"ofeat_{k}": oracle(features.EMA_SQL + features.steps(25), features.state_count_final(k, True)) for k in features.OPTION_KEYS}
 
 for _d in ("long", "short"):
     for _e in ("open", "close"):
