@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlework.plans import assets, derivatives, equities
+from candlework.plans import assets, derivatives, equities, patterns
 
-QUERIES = equities.QUERIES | assets.QUERIES | derivatives.QUERIES
-ORACLE_SQL = equities.ORACLE_SQL | assets.ORACLE_SQL | derivatives.ORACLE_SQL
+QUERIES = equities.QUERIES | assets.QUERIES | derivatives.QUERIES | patterns.QUERIES
+ORACLE_SQL = equities.ORACLE_SQL | assets.ORACLE_SQL | derivatives.ORACLE_SQL | patterns.ORACLE_SQL
