@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,20 @@ def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS, si
         at = end
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches of a task; at its end free memory is given back."""
+    for batch in batches:
+        yield from slices(batch, text, rows, size)
+    release()
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for a block; the user's own are back after it."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, slices
+from candlework.llm.common import parts, read
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +108,7 @@ def costs(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, sam
 
     def run(batches: Iterator[pa.RecordBatch]):
         spent, rejected, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
-        for part in (part for batch in batches for part in slices(batch)):
+        for part in parts(batches):
             for text in part.column(0).to_pylist():
                 n += 1
                 for name, rule in rules.items():
@@ -136,7 +136,7 @@ def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES) -> D
     order = [rules[r] for r in _order(docs, rules)]
 
     def run(batches):
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in parts(batches):
             good = [not any(rule(t) for rule in order) for t in map(Text, batch.column("text").to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
@@ -148,7 +148,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] = RULES, bas
     order = [r for r in _order(docs, rules) if r not in base]
 
     def run(batches):
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in parts(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 t = Text(text)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, slices, spool
+from candlework.llm.common import parts, read, spool
 from candlework.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches):
-        for batch in batches:
-            fp = np.array([fingerprint(t, size) for part in slices(batch) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+        for batch in parts(batches):
+            fp = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -459,7 +459,7 @@ def _banded(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, tag, high and low (a 128-bit hash of the words in a row), keys (of each band)."""
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in parts(batches):
             texts = batch.column("text").to_pylist()
             name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts), np.int64).reshape(-1, 2)
             keys = []
@@ -477,7 +477,7 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
     """node, tag, sig."""
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in parts(batches):
             sigs = [sketch(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sigs, pa.binary())], names=["node", "tag", "sig"])
 
@@ -554,7 +554,7 @@ def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILA
     sketches = spool(_sketches(texts, size).join(keys, ["node", "tag"]), "sketches")
 
     def judge(batches):
-        for batch in (part for whole in batches for part in slices(whole, "a")):
+        for batch in parts(batches, "a"):
             same = [similarity(a, b, size) >= least for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 

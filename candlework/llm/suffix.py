@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, slices, spool
+from candlework.llm.common import parts, read, spool
 
 LENGTH, GRAM = 200, 24
 #: Runs with different bytes under one gram, and their bytes, over which strings are routed anew.
 HOT, HOT_BYTES = 2000, 1 << 23
 #: Bytes joined for one suffix array.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -285,9 +285,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def _rows(batches, text: str) -> Iterator[tuple]:
     """The rows of batches, of which a bounded part is Python objects at a time."""
-    for batch in batches:
-        for part in slices(batch, text):
-            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+    for part in parts(batches, text):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 def _merged(f, rows: int = 50_000):
@@ -338,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = _marked(docs, length)
 
     def cut(batches):
-        for part in (part for batch in batches for part in slices(batch, "data")):
+        for part in parts(batches, "data"):
             rows = []
             for i, data, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 gone = merge_spans(spans or [], length)
@@ -361,7 +360,7 @@ def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = docs.schema
 
     def cut(batches):
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in parts(batches):
             spans = batch.column("__spans").to_pylist()
             texts = [remaining(t.encode(), merge_spans(s, length)).decode(errors="ignore") if t is not None and s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
             new = {"text": pa.array(texts, pa.string())}

@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from candlework.llm.common import slices
+from candlework.llm.common import parts
 
 #: Known words, of about 50 bytes each, over which a worker forgets those it has used once.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 #: Rows and bytes of texts that are encoded together.
-SLICE_ROWS, SLICE_BYTES = 4096, 1 << 23
+SLICE_ROWS, SLICE_BYTES = 2048, 3 << 20
 #: New words in one call of the library.
 CALL_WORDS = 2000
 #: What keeps a word from being cut out of its text.
@@ -187,9 +187,8 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its texts, ``end_id`` appended to each."""
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    for batch in batches:
-        for part in slices(batch, text, SLICE_ROWS, SLICE_BYTES):
-            yield part, [x + end for x in encoder(path).encode(part.column(text))]
+    for part in parts(batches, text, SLICE_ROWS, SLICE_BYTES):
+        yield part, [x + end for x in encoder(path).encode(part.column(text))]
 
 
 def crc(ids: bytes) -> int:
