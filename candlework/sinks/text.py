@@ -16,8 +16,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     formatted(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def merge_same_header(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """All rows of tables with just the same columns in the same order."""
+def merge_same_header(first: DataFrame, *others: DataFrame | None) -> DataFrame:
+    """All rows of tables with just the same columns in the same order; a missing table or one without columns is passed by."""
+    first, *others = [df for df in (first, *others) if df is not None and df.columns]
     for df in others:
         if df.columns != first.columns:
             raise ValueError(f"headers differ: {df.columns} and {first.columns}")
