@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from candlework.llm.common import parts
 
 #: Known words, of about 50 bytes each, over which a worker forgets those it has used once.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 #: Rows and bytes of texts that are encoded together.
-SLICE_ROWS, SLICE_BYTES = 2048, 3 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 1 << 23
 #: New words in one call of the library.
 CALL_WORDS = 2000
 #: What keeps a word from being cut out of its text.
@@ -50,7 +50,11 @@ def tokenizer_of(path: str, special_as_text: bool = False):
 def _gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches ids[first : first + size], one after another."""
     before = np.cumsum(size) - size
-    return ids[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((first - before).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return ids[at]
 
 
 class Encoder:
@@ -67,6 +71,8 @@ class Encoder:
         pre = kind.get("pre_tokenizer") or {}
         spaced = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         ended = bool(kind["model"].get("end_of_word_suffix"))
+        normal = kind.get("normalizer") or {}
+        self.lowers = any(n["type"] == "Lowercase" for n in normal.get("normalizers", [normal] if normal else []))
         self.specials = [] if special_as_text else [t["content"] for t in kind["added_tokens"]]
         self.cut = self._spaced if spaced else self._ended if ended else None
         #: What stands between words in a call: of one id that no word has.
@@ -88,7 +94,8 @@ class Encoder:
         return pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n"), " ")
 
     def _ended(self, texts: pa.Array) -> pa.ListArray:
-        return pc.ascii_split_whitespace(texts)
+        """Words in any white space; where the tokenizer lower-cases anyway, A-Z are lowered before, so that fewer are distinct."""
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
 
     def _odd(self, words: pa.Array) -> np.ndarray:
         """Which are not one word that stands for itself in any text."""
