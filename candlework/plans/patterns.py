@@ -18,7 +18,19 @@ GATE = "trades >= 200 AND tickers >= 20 AND success_rate_pct >= 60 AND take_prof
 SPLIT, AS_OF = "1996-01-01", "1998-06-30"
 
 
+#: States and trades by session and the files that they come from: mining is the dear part and all reports share it.
+_mined: dict[tuple, tuple] = {}
+
+
 def _inputs(spark, d):
+    files = [sorted(spark.read.parquet(f"{d}/{t}.parquet").inputFiles()) for t in ("lineitem", "part")]
+    key = (spark.sparkContext.applicationId, *map(tuple, files))
+    if key not in _mined:
+        _mined[key] = _mine(spark, d)
+    return _mined[key]
+
+
+def _mine(spark, d):
     spot = bars.spot_bars(spark, d)
     states = spool(mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get), "states")
     samples = spool(exits.samples(spot, assets.TEMPLATES), "samples")
