@@ -51,7 +51,7 @@ def steps(templates: list[dict], start: str | None = None, end: str | None = Non
         ("x1", f"SELECT *, {tr} AS tr FROM x0"),
         ("x2", f"SELECT ticker, trade_date, open, close, rn, n_bars, pc, CASE WHEN rn >= 14 THEN avg(tr) OVER ({BY_BAR} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr, {ahead} FROM x1"),
         ("templates", values(templates)),
-        ("x3", f"SELECT x2.*, t.*, CASE WHEN entry = 'open' THEN open ELSE close END AS entry_price FROM x2 JOIN templates t ON (t.entry = 'open' AND x2.rn >= 3) OR (t.entry = 'close' AND x2.rn >= 2) WHERE n_bars >= 70 AND pc > 0{dates}".replace("x2 JOIN templates t ON (t.entry = 'open' AND x2.rn >= 3) OR (t.entry = 'close' AND x2.rn >= 2) WHERE", "x2 CROSS JOIN templates t WHERE ((t.entry = 'open' AND x2.rn >= 3) OR (t.entry = 'close' AND x2.rn >= 2)) AND")),
+        ("x3", f"SELECT b.*, t.*, CASE WHEN entry = 'open' THEN open ELSE close END AS entry_price FROM x2 b CROSS JOIN templates t WHERE b.rn >= CASE WHEN t.entry = 'open' THEN 3 ELSE 2 END AND n_bars >= 70 AND pc > 0{dates}"),
         ("x4", f"SELECT *, entry_price * (1 + {sign} * tp / 100 * CASE WHEN mode = 'atr' THEN atr ELSE 1 END) AS target, entry_price * (1 - {sign} * sl / 100 * CASE WHEN mode = 'atr' THEN atr ELSE 1 END) AS stop FROM x3 WHERE entry_price > 0 AND (mode = 'percent' OR atr > 0)"),
         ("x5", f"SELECT *, {_touch()} AS touch FROM x4"),
         ("x6", "SELECT *, CAST(floor(touch / 4e0) AS INT) AS bar, touch % 4 AS kind FROM x5 WHERE touch IS NOT NULL"),

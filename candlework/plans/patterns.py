@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from candlework.functions.sql import chain, in_duckdb
-from candlework.operators import exits, features, mining, patterns
+from candlework.operators import exit_grid, exits, features, mining, patterns
 from candlework.plans import assets
 from candlework.sinks.spool import spool
 from candlework.sources import bars
@@ -70,6 +70,27 @@ MAKE = {
 }
 QUERIES = {name: partial(_query, make) for name, make in MAKE.items()}
 
+#: Limits of a final exit that these tables can pass; the operator's defaults are the report's.
+LOW_EXIT, LOW_EXIT_TICKER = {"n": 200, "tickers": 20, "target": 1.0, "tp": 50.0, "av": 0.1, "pf": 1.0}, {"n": 5, "tp": 50.0, "av": 0.0, "pf": 1.0}
+_exits: dict[tuple, object] = {}
+
+
+def _exit_sums(spark, d):
+    """Sums of every approved pattern, pair and ticker: made once a session, as the patterns are."""
+    states, trades = _inputs(spark, d)
+    key = next(k for k, v in _mined.items() if v[1] is trades)
+    if key not in _exits:
+        samples = spool(exits.samples(bars.spot_bars(spark, d), exit_grid.TEMPLATES), "grid-samples")
+        _exits[key] = spool(exit_grid.variants(states, samples, trades.select(*patterns.KEY).distinct(), assets.PLACES), "exit-sums")
+    return _exits[key]
+
+
+QUERIES |= {
+    "pattern_exits": lambda spark, d: exit_grid.strategies(_exit_sums(spark, d)),
+    "pattern_exit_tickers": lambda spark, d: exit_grid.by_ticker(_exit_sums(spark, d)),
+    "pattern_exit_final": lambda spark, d: exit_grid.final_tickers(_exit_sums(spark, d), LOW_EXIT, LOW_EXIT_TICKER),
+}
+
 # The oracle: its own sums, gates and scores over the miner's DuckDB steps.
 _NET = "CAST(sum(CAST(trade_return_pct AS DECIMAL(18, 9))) AS DOUBLE)"
 
@@ -135,4 +156,20 @@ _FINAL = {
     "pattern_target_hits": "SELECT s.template, s.itemset, s.tp, s.tp >= 18 AS hits, coalesce(g.k, 0) AS good_tickers FROM split2 s LEFT JOIN (SELECT template, itemset, count(*) AS k FROM per_ticker WHERE n >= 15 AND tp >= 20 GROUP BY template, itemset) g ON g.template = s.template AND g.itemset = s.itemset",
     "pattern_signals": "SELECT template, itemset, ticker, trade_date, n, win, av, pf, ticker_n, ticker_av, ticker_n IS NOT NULL AS qualified, ticker_signals, score, CAST(row_number() OVER (PARTITION BY ticker ORDER BY score DESC, template, itemset) AS INTEGER) AS place FROM weighed",
 }
+# The exit grid: trades of the grid beside those of the miner, under other names.
+_GRID = assets._rename(exits.steps(exit_grid.TEMPLATES), "_grid")
+_EXITS = [
+    ("pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{t['template']}', {t['tp']}::DOUBLE, {t['sl']}::DOUBLE)" for t in exit_grid.TEMPLATES) + ") AS v(variant, target, stop)"),
+    ("bases", "SELECT DISTINCT template, itemset FROM ptrades"),
+    ("again", "SELECT b.template, b.itemset, p.target, p.stop, s.ticker, s.trade_date, s.exit_reason, s.trade_return_pct FROM bases b JOIN (SELECT * FROM sets1 UNION ALL SELECT * FROM sets) x ON x.itemset = b.itemset AND x.entry_rule = split_part(b.template, '_', 3) JOIN samples_grid s ON s.ticker = x.ticker AND s.trade_date = x.trade_date AND s.entry_rule = x.entry_rule JOIN pairs p ON p.variant = s.template"),
+    ("exit_whole0", f"SELECT template, itemset, target, stop, count(DISTINCT ticker) AS tickers, {_ALL} FROM again GROUP BY template, itemset, target, stop"),
+    ("exit_whole", "SELECT *, round(tp * 2.5 + av * 35 + least(pf, 8) * 8 + target * 8 - sl * 1.2 + 1e-9, 4) AS score FROM exit_whole0"),
+    ("exit_ticker", f"SELECT template, itemset, target, stop, ticker, {_ALL} FROM again GROUP BY template, itemset, target, stop, ticker"),
+]
+_EXIT_FINAL = {
+    "pattern_exits": "SELECT *, n >= 300 AND tickers >= 50 AND target >= 2 AND tp >= 50 AND av >= 1 AND pf >= 2 AS passes, CAST(row_number() OVER (PARTITION BY template, itemset ORDER BY score DESC, target, stop) AS INTEGER) AS place FROM exit_whole",
+    "pattern_exit_tickers": "SELECT *, n >= 15 AND tp >= 50 AND av >= 1 AND pf >= 2 AS passes FROM exit_ticker",
+    "pattern_exit_final": "SELECT t.* FROM exit_ticker t JOIN exit_whole w USING (template, itemset, target, stop) WHERE w.n >= 200 AND w.tickers >= 20 AND w.target >= 1 AND w.tp >= 50 AND w.av >= 0.1 AND w.pf >= 1 AND t.n >= 5 AND t.tp >= 50 AND t.av >= 0 AND t.pf >= 1",
+}
 ORACLE_SQL = {name: in_duckdb(chain(assets.BARS + assets._BOTH + _TRADES + (_LATEST if name == "pattern_signals" else []), final, True)) for name, final in _FINAL.items()}
+ORACLE_SQL |= {name: in_duckdb(chain(assets.BARS + assets._BOTH + _TRADES + _GRID + _EXITS, final, True)) for name, final in _EXIT_FINAL.items()}

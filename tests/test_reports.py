@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from candlework.operators import patterns
+from candlework.operators import exit_grid, patterns
 from candlework.sinks import keyed, text
 from candlework.sources import files, reports
 
@@ -110,3 +110,24 @@ def test_pattern_measures_and_report(spark):
     by = {r.ticker: r.cumulative for r in patterns.by_ticker(gone).collect()}
     assert by["T0"] == -100.0 and by["T1"] == pytest.approx((1.02**10 - 1) * 100, abs=1e-3)
     assert patterns.actions(patterns.by_ticker(trades)).count() == 4
+
+
+def test_exit_grid_by_hand(spark):
+    day = dt.date(2026, 1, 5)
+    states = spark.createDataFrame([("A", day, "open", [3, 40]), ("B", day, "open", [3]), ("C", day, "close", [3])], "ticker string, trade_date date, entry_rule string, items array<int>")
+    base = spark.createDataFrame([("asset_short_open_tp2_sl1_cap5", 4)], "template string, itemset long")
+    two, one = "asset_long_open_tp2_sl1_cap5", "asset_long_open_tp1_sl1_cap5"
+    rows = [(two, "A", "open", "take_profit", 2.0), (two, "B", "open", "stop_loss_conflict", -1.0), (one, "A", "open", "take_profit", 1.0), (one, "B", "open", "time_cap", 0.5), ("asset_long_close_tp2_sl1_cap5", "C", "close", "take_profit", 2.0)]
+    samples = spark.createDataFrame([(t, k, day, e, why, x) for t, k, e, why, x in rows], "template string, ticker string, trade_date date, entry_rule string, exit_reason string, trade_return_pct double")
+    sums = exit_grid.variants(states, samples, base, [0, 2])
+    got = {r.target: r for r in exit_grid.strategies(sums).collect()}
+    assert set(got) == {1.0, 2.0} and {r.template for r in got.values()} == {"asset_short_open_tp2_sl1_cap5"}
+    a, b = got[1.0], got[2.0]
+    assert (a.n, a.tickers, a.tp, a.cap, a.win, a.av, a.pf, a.place, a.passes) == (2, 2, 50.0, 50.0, 100.0, 0.75, 9999.0, 1, False)
+    assert (b.sl, b.av, b.net, b.pf, b.place) == (50.0, 0.5, 1.0, 2.0, 2)
+    assert (a.score, b.score) == (50 * 2.5 + 0.75 * 35 + 64 + 8, 50 * 2.5 + 0.5 * 35 + 16 + 16 - 60)
+    low = {"n": 2, "target": 2.0}
+    final = exit_grid.final_tickers(sums, low, {"tp": 50.0}).collect()
+    assert [(r.ticker, r.target) for r in final] == [("A", 2.0)]
+    assert exit_grid.strategies(exit_grid.variants(states.limit(0), samples, base, [0, 2])).count() == 0
+    assert len(exit_grid.PAIRS) == 24 and len(exit_grid.TEMPLATES) == 48
