@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from candlework.functions import metrics
 from candlework.functions.sql import r
@@ -67,6 +68,7 @@ FINALS = {
 
 #: Thresholds of a refinement on the synthetic tables; the defaults of real runs are in GATE.
 GATE = {"avg_uplift": 1.0, "pf_uplift": 0.2, "trades": 300, "tickers": 30, "train": 150, "val": 40, "pf": 1.10, "months": 6, "months_ratio": 0.55, "val_months": 2, "val_ratio": 0.5, "overlap": 0.85}
+LOW_GATE = {"avg_uplift": 0.0, "pf_uplift": 0.0, "trades": 20, "tickers": 5, "train": 10, "val": 3, "pf": 1.0, "months": 6, "months_ratio": 0.2, "val_months": 2, "val_ratio": 0.2, "overlap": 0.5}
 TEST_GATE = GATE | {"avg_uplift": 0.5, "pf_uplift": 0.05, "trades": 60, "tickers": 10, "train": 20, "val": 10}
 
 
@@ -99,23 +101,33 @@ def refine_steps(gate: dict = TEST_GATE, split: str = SPLIT):
     ]
 
 
-def greedy(candidates: DataFrame, overlap: DataFrame, share: float = GATE["overlap"]) -> DataFrame:
-    """Candidates that stay, best robustness first, none overlapping a kept one of its template by ``share``."""
+def verdicts(candidates: DataFrame, overlap: DataFrame, share: float = GATE["overlap"]) -> DataFrame:
+    """All candidates and duplicate_of: null if one stays, else the best kept one of its template that it overlaps by ``share``.
+
+    They are seen best robustness first; what does not stay hides nobody.
+    """
     near = overlap.where(f"share >= {share}").selectExpr("template", "first_set", "second_set")
 
-    def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["robustness", "val_net", "avg_uplift", "pf_uplift", "itemset"], ascending=[False, False, False, False, True])
         close: dict[int, set[int]] = {}
         for a, b in zip(right["first_set"], right["second_set"], strict=True):
             close.setdefault(a, set()).add(b)
             close.setdefault(b, set()).add(a)
-        kept: set[int] = set()
+        place: dict[int, int] = {}
+        hidden_by = []
         for x in left["itemset"]:
-            if not close.get(x, set()) & kept:
-                kept.add(x)
-        return left[left["itemset"].isin(kept)]
+            hidden_by.append(min(close.get(x, set()) & place.keys(), key=place.__getitem__, default=None))
+            if hidden_by[-1] is None:
+                place[x] = len(place)
+        return left.assign(duplicate_of=pd.array(hidden_by, "Int64"))
+
+    return candidates.groupBy("template").cogroup(near.groupBy("template")).applyInPandas(judge, candidates.withColumn("duplicate_of", F.lit(None).cast("long")).schema)
 
-    return candidates.groupBy("template").cogroup(near.groupBy("template")).applyInPandas(keep, candidates.schema)
+
+def greedy(candidates: DataFrame, overlap: DataFrame, share: float = GATE["overlap"]) -> DataFrame:
+    """Candidates that stay (see verdicts)."""
+    return verdicts(candidates, overlap, share).where("duplicate_of IS NULL").drop("duplicate_of")
 
 
 # Monitor: which strategies fire on each ticker's latest bar.

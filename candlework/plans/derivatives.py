@@ -98,6 +98,32 @@ for _name, _final in {"baseline": "SELECT * FROM baseline", "refine_split": "SEL
     ORACLE_SQL[_name] = oracle(_E4 + _PAIRS + reports.refine_steps(), _final, True)
 QUERIES["refine_final"] = refine_final
 
+
+def refine_low(what, spark, d):
+    """The refinement behind limits that these tables can pass: overlaps, and which candidate stands for which."""
+    steps = reports.refine_steps(reports.LOW_GATE)
+    inputs = _refine_inputs(spark, d)
+    inputs["pattern_trades"] = spool(run(spark, steps[1:2], "SELECT * FROM pattern_trades", **inputs), "pattern-trades")
+    steps = steps[:1] + steps[2:]
+    chosen = spool(run(spark, steps, "SELECT * FROM candidates", **inputs), "candidates")
+    shared = run(spark, steps[steps.index(next(s for s in steps if s[0] == "keys")) :], "SELECT * FROM overlap", pattern_trades=inputs["pattern_trades"], candidates=chosen)
+    if what == "overlap":
+        return shared
+    return reports.verdicts(chosen, shared, reports.LOW_GATE["overlap"]).select("template", "itemset", "robustness", "val_net", "bucket", "duplicate_of")
+
+
+# The oracle walks each template's candidates in order, one a round, with those that it kept so far.
+_WALK = [
+    ("near", f"SELECT template, first_set AS a, second_set AS b FROM overlap WHERE share >= {reports.LOW_GATE['overlap']} UNION ALL SELECT template, second_set, first_set FROM overlap WHERE share >= {reports.LOW_GATE['overlap']}"),
+    ("near_of", "SELECT template, a, list(b) AS bs FROM near GROUP BY template, a"),
+    ("queue", "SELECT c.template, c.itemset, coalesce(n.bs, []) AS bs, row_number() OVER (PARTITION BY c.template ORDER BY robustness DESC, val_net DESC, avg_uplift DESC, pf_uplift DESC NULLS LAST, itemset) AS place FROM candidates c LEFT JOIN near_of n ON n.template = c.template AND n.a = c.itemset"),
+    ("turns", "SELECT template, itemset, place, [itemset] AS kept, CAST(NULL AS BIGINT) AS duplicate_of FROM queue WHERE place = 1 UNION ALL SELECT q.template, q.itemset, q.place, CASE WHEN len(list_filter(w.kept, lambda x: list_contains(q.bs, x))) = 0 THEN list_append(w.kept, q.itemset) ELSE w.kept END, list_filter(w.kept, lambda x: list_contains(q.bs, x))[1] FROM turns w JOIN queue q ON q.template = w.template AND q.place = w.place + 1"),
+]
+QUERIES |= {"refine_low_overlap": partial(refine_low, "overlap"), "refine_low_verdicts": partial(refine_low, "verdicts")}
+_LOW = _E4 + _PAIRS + reports.refine_steps(reports.LOW_GATE)
+ORACLE_SQL["refine_low_overlap"] = oracle(_LOW, "SELECT * FROM overlap", True)
+ORACLE_SQL["refine_low_verdicts"] = oracle(_LOW + _WALK, "SELECT c.template, c.itemset, c.robustness, c.val_net, c.bucket, w.duplicate_of FROM candidates c JOIN turns w ON w.template = c.template AND w.itemset = c.itemset", True)
+
 # Reports on the trades of all percent and ATR templates
 _REPORTED = exits.percent_templates() + exits.atr_templates()
 
