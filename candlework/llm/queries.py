@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from candlework.llm.ann import op8_nearest_neighbours
 from candlework.llm.chat import OP10_SQL, op10_chat_formatting
+from candlework.llm.licenses import OP13_SQL, op13_license_scans
 from candlework.llm.mixing import op4_mixing
 from candlework.llm.packing import op1_best_fit_packing
 from candlework.llm.quality import op3_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_url_filters,
         op10_chat_formatting,
+        op13_license_scans,
     )
 }
-ORACLE_SQL = {"op10_chat_formatting": OP10_SQL}
+ORACLE_SQL = {"op10_chat_formatting": OP10_SQL, "op13_license_scans": OP13_SQL}
