@@ -8,7 +8,8 @@ counted is counted by its word hashes and cut at the threshold, so results are e
 
 Words are hashed to 64 bits together with their language; should two words of the corpus share a hash, the next seed is
 taken. Text is split and hashed on arrays of bytes; only a batch's distinct words become strings. A text longer than a slice
-is cut where pieces end. Counts combine in each task before they are shuffled.
+is cut where pieces end. Counts combine in each task before they are shuffled; those of n-grams travel as arrays, one for
+each of PARTS ranges of their hash, and are summed on arrays range by range. Only what is frequent becomes rows.
 
 Null text is an empty one; null lang is ``und``, the same as a lang of that name. Other columns are not read. Repeated rows
 count as often as they stand. Nothing is returned for a lang without a frequent phrase.
@@ -35,6 +36,8 @@ BITS = 26
 #: Bytes of text at a time, and rows of counts that a task holds before it hands them on.
 SLICE, HELD = 1 << 21, 1 << 19
 SALTS = 32
+#: Ranges of hashes; the distinct candidates of one range are held at a time.
+PARTS = 1024
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(ENDS)] = 1, 2
@@ -150,28 +153,32 @@ def _held(rows: list[pa.Table], keys: list[str]) -> pa.Table:
 
 
 _BLOCK = "block int, places binary, counts binary"
+_GRAMS = "part int, grams binary, sums binary, " + _BLOCK
+_WORDS = "lang string, word string, h1 long, n long, " + _BLOCK
+
+
+def _typed(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    split = [c.split() for c in schema.split(", ")]
+    return [c for c, _ in split], [kinds[t] for _, t in split]
 
 
 def _schema(k: int) -> str:
-    words = "lang string, word string, " if k == 1 else ""
-    return words + ", ".join(f"h{i} long" for i in range(1, k + 1)) + ", n long, " + _BLOCK
+    return _WORDS if k == 1 else _GRAMS
 
 
 def _pass(k: int, longest: int, bits: int, seed: int, frequent: Broadcast | None, buckets: Broadcast | None):
-    keys = (["lang", "word"] if k == 1 else []) + [f"h{i}" for i in range(1, k + 1)]
-    names = [*keys, "n", "block", "places", "counts"]
-    types = [pa.string(), pa.string()] * (k == 1) + [pa.int64()] * (k + 1) + [pa.int32(), pa.binary(), pa.binary()]
+    names, types = _typed(_schema(k))
+    keys = ["lang", "word", "h1"] if k == 1 else [f"h{i}" for i in range(1, k + 1)]
 
     def counts(w: Words, langs: list[str], upcoming: Buckets | None) -> pa.Table | None:
         grams, valid = w.hash, np.ones(len(w.hash), bool)
-        if k == 1:
-            able = valid
+        able = valid
         for i in range(1, k):
             if i == k - 1:
                 able = _bit(frequent, grams, bits) & valid
-            shifted = np.concatenate((w.hash[i:], np.zeros(i, np.uint64)))
             valid = valid & np.concatenate((w.next[i - 1 :], np.zeros(i - 1, bool)))
-            grams = _joined(grams, shifted)
+            grams = _joined(grams, np.concatenate((w.hash[i:], np.zeros(i, np.uint64))))
         if k > 1:
             able = able & np.concatenate((able[1:], [False])) & valid
             able[able] = _bit(buckets, grams[able], bits)
@@ -189,14 +196,24 @@ def _pass(k: int, longest: int, bits: int, seed: int, frequent: Broadcast | None
             data = {"lang": pa.array(langs, pa.string()).take(pa.array(w.lang[at[one]])), "word": w.strings(at[one])} | data
         return pa.table(data | {"n": pa.array(n)})
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, upcoming, empty = [], Buckets(bits) if k < longest else None, True
+    def row(**values) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([values.get(c)], t) for c, t in zip(names, types, strict=True)], names=names)
 
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if k == 1:
             for piece in table.to_batches(max_chunksize=1 << 14):
-                rest = [pa.nulls(len(piece), t) for t in types[-3:]]
-                yield pa.record_batch([*(piece.column(c) for c in [*keys, "n"]), *rest], names=names)
+                yield pa.record_batch([*(piece.column(c) for c in names[:4]), *(pa.nulls(len(piece), t) for t in types[4:])], names=names)
+            return
+        columns = [table[c].to_numpy().view(np.uint64) for c in keys]
+        part = _hash(columns) >> np.uint64(54)
+        by = np.argsort(part, kind="stable")
+        grams, sums = np.stack([c[by] for c in columns], axis=1).astype("<u8"), table["n"].to_numpy()[by].astype("<i8")
+        cuts = np.searchsorted(part[by], np.arange(PARTS + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            yield row(part=int(p), grams=grams[cuts[p] : cuts[p + 1]].tobytes(), sums=sums[cuts[p] : cuts[p + 1]].tobytes())
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, upcoming, empty = [], Buckets(bits) if k < longest else None, True
         for w, langs in _slices(batches, seed):
             if not len(w.hash):
                 continue
@@ -211,8 +228,53 @@ def _pass(k: int, longest: int, bits: int, seed: int, frequent: Broadcast | None
         if held:
             yield from out(_held(held, keys))
         if upcoming is not None and not empty:
-            for row in upcoming.rows():
-                yield pa.record_batch([*(pa.nulls(1, t) for t in types[:-3]), *(pa.array([row[c]], t) for c, t in zip(names[-3:], types[-3:], strict=True))], names=names)
+            for block in upcoming.rows():
+                yield row(**block)
+        release()
+
+    return work
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    g = columns[0]
+    for h in columns[1:]:
+        g = _joined(g, h)
+    return g
+
+
+def _summed(k: int, least: int):
+    """Sums the counts of a sorted partition, one range of hashes at a time, and hands on what is frequent."""
+
+    def merged(grams: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        g, n = np.concatenate(grams), np.concatenate(sums)
+        by = np.lexsort(g.T)
+        g, n = g[by], n[by]
+        at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]).any(1))))
+        return g[at], np.add.reduceat(n, at)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, grams, sums, size, kept = None, [], [], 0, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            g, n = merged(grams, sums)
+            g, n = g[n >= least].view(np.int64), n[n >= least]
+            if len(n):
+                yield pa.record_batch([*(pa.array(g[:, i]) for i in range(k)), pa.array(n)], names=[*(f"h{i}" for i in range(1, k + 1)), "n"])
+
+        for batch in batches:
+            for p, g, n in zip(*(batch.column(c).to_pylist() for c in ("part", "grams", "sums")), strict=True):
+                if p != part:
+                    if grams:
+                        yield from done()
+                    part, grams, sums, size, kept = p, [], [], 0, 0
+                grams.append(np.frombuffer(g, "<u8").reshape(-1, k))
+                sums.append(np.frombuffer(n, "<i8"))
+                size += len(sums[-1])
+                if size > 2 * kept + HELD:
+                    g, n = merged(grams, sums)
+                    grams, sums, size, kept = [g], [n], len(n), len(n)
+        if grams:
+            yield from done()
         release()
 
     return work
@@ -255,11 +317,7 @@ def _marked(grams: DataFrame, k: int, bits: int) -> Broadcast:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets(bits)
         for batch in batches:
-            hashes = [batch.column(f"h{i}").to_numpy().view(np.uint64) for i in range(1, k + 1)]
-            g = hashes[0]
-            for h in hashes[1:]:
-                g = _joined(g, h)
-            buckets.add(g)
+            buckets.add(_hash([batch.column(f"h{i}").to_numpy().view(np.uint64) for i in range(1, k + 1)]))
         for row in buckets.rows():
             yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())]))
 
@@ -282,8 +340,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
         before = _marked(found[-1], k - 1, bits)
         buckets = _bitmap(rows.where("block is not null").select("block", "places", "counts"), least, bits)
         rows = spool(texts.mapInArrow(_pass(k, longest, bits, seed, before, buckets), _schema(k)), f"grams-{k}")
-        keys = [f"h{i}" for i in range(1, k + 1)]
-        found.append(spool(rows.where("n is not null").groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"frequent-{k}"))
+        parts = rows.where("part is not null").select("part", "grams", "sums").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+        keys = ", ".join(f"h{i} long" for i in range(1, k + 1))
+        found.append(spool(parts.sortWithinPartitions("part").mapInArrow(_summed(k, least), f"{keys}, n long"), f"frequent-{k}"))
     return totals, found
 
 
