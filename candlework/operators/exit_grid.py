@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators import exits, mining
+from candlework.operators import counting, exits, mining
 from candlework.operators.patterns import KEY, NUDGE, passes
 
 # The grid of targets and stops, and the limits of what is final.
@@ -34,7 +34,7 @@ def variants(states: DataFrame, samples: DataFrame, base: DataFrame, places: lis
     """Sums per base, target, stop and ticker. ``samples`` are trades of TEMPLATES, ``base`` has template and itemset."""
     named = base.select(*KEY, F.split_part("template", F.lit("_"), F.lit(3)).alias("entry_rule"))
     sets = F.explode(F.concat(*[mining.itemsets(k, places) for k in sizes])).alias("itemset")
-    held = states.select("ticker", "trade_date", "entry_rule", sets).join(named, ["itemset", "entry_rule"])
+    held = counting.spread(states).select("ticker", "trade_date", "entry_rule", sets).join(named, ["itemset", "entry_rule"])
     pair = F.create_map(*[F.lit(x) for t in TEMPLATES for x in (t["template"], F.struct(F.lit(t["tp"]).alias("target"), F.lit(t["sl"]).alias("stop")))])
     trades = samples.select("ticker", "trade_date", "entry_rule", pair[F.col("template")].alias("p"), "exit_reason", F.col("trade_return_pct").cast("decimal(18,9)").alias("x"))
     x, why = F.col("x"), F.col("exit_reason")

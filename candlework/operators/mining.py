@@ -1,9 +1,9 @@
 """Itemset mining: which combinations of one to three states go with good trades.
 
-Every (ticker, date, entry rule) is one row with its states packed as small integers (16 * feature + step) and one
-column set of outcomes per template. Itemsets are packed into a long and exploded once for all templates; sums are
-taken per (itemset, ticker) and then per itemset, so distinct tickers are a count and everything combines map
-side. Names are decoded only for what is returned. Three-state sets grow only from promoted pairs of features.
+Every (ticker, date, entry rule) is one row with its states packed as small integers (16 * feature + step) and the
+outcomes of all templates that traded then. Sums over all itemsets come from matrix products (see counting); they are
+whole numbers, so they don't turn on the order of addition. Names are decoded only for what is returned. Three-state
+sets grow only from promoted pairs of features.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from candlework.functions import ladders, metrics
 from candlework.functions.sql import r
+from candlework.operators import counting
 
 PRE_TRADES, PRE_WIN, PRE_FACTOR, PRE_PAIRS = 50, 55.0, 1.5, 150
 
@@ -24,7 +25,16 @@ def packed_states(values: DataFrame, keys: list[str], ladder) -> DataFrame:
 
 
 def with_outcomes(states: DataFrame, samples: DataFrame, templates: list[str]) -> DataFrame:
-    """States with, per template, the return and whether the target was hit; null where there was no trade."""
+    """States with outcomes: (t, x, e) of every template that traded: its number, the return, how it went out."""
+    number = (F.array_position(F.array(*map(F.lit, templates)), F.col("template")) - 1).cast("int")
+    reason = F.when(F.col("exit_reason") == "take_profit", counting.TARGET).when(F.startswith("exit_reason", F.lit("stop_loss")), counting.STOP).when(F.col("exit_reason") == "time_cap", counting.CAP).otherwise(0)
+    traded = samples.where("trade_return_pct is not null").select("ticker", "trade_date", "entry_rule", F.struct(number.alias("t"), F.col("trade_return_pct").alias("x"), reason.alias("e")).alias("o")).where("o.t >= 0")
+    outcomes = traded.groupBy("ticker", "trade_date", "entry_rule").agg(F.collect_list("o").alias("outcomes"))  # one a template at most
+    return states.join(outcomes, ["ticker", "trade_date", "entry_rule"])
+
+
+def with_columns(states: DataFrame, samples: DataFrame, templates: list[str]) -> DataFrame:
+    """States with, per template, columns of the return and whether the target was hit; null where there was no trade."""
     wide = samples.groupBy("ticker", "trade_date", "entry_rule").agg(*[x for i, t in enumerate(templates) for x in (F.max(F.when(F.col("template") == t, F.col("trade_return_pct"))).alias(f"r{i}"), F.max(F.when(F.col("template") == t, (F.col("exit_reason") == "take_profit").cast("int"))).alias(f"h{i}"))])
     return states.join(wide, ["ticker", "trade_date", "entry_rule"])
 
@@ -44,8 +54,19 @@ def itemsets(size: int, pairable: list[int], promoted: list[tuple[int, int]] | N
     return F.array_distinct(F.transform(three, lambda t: pack(t[0], t[1]) + (t[2] + 1).cast("long") * (1 << 20)))
 
 
-def aggregate(rows: DataFrame, sets, templates: list[str], rule_of: list[str], least: float = 0.0) -> DataFrame:
-    """Raw sums per template and itemset, with distinct tickers."""
+def aggregate(rows: DataFrame, size: int, pairable: list[int], templates: list[str], rule_of: list[str], promoted: list[tuple[int, int]] | None = None, least: float = 0.0) -> DataFrame:
+    """Raw sums per template and itemset of ``size`` states, with distinct tickers. ``rows``: see with_outcomes."""
+    expand = {1: counting.singles, 2: counting.pairs}.get(size) or counting.triples(promoted or [])
+    dated = rows.select("*", F.unix_date("trade_date").alias("day"))
+    total = counting.totals(dated, expand, pairable, rule_of, least, rows.count())
+    units = lambda c: F.expr(f"{c} / {counting.UNIT:.0f}e0")
+    name = F.element_at(F.array(*map(F.lit, templates)), F.col("template") + 1)
+    kept = ("itemset", "tickers", "trades", "profitable", "successful", "take_profits", "stop_losses", "time_caps")
+    return total.select(name.alias("template"), *kept, units("net").alias("net"), units("gross_profit").alias("gross_profit"), units("(gross_profit - net)").alias("gross_loss"), "logs", "wiped", F.date_from_unix_date("first").alias("first_date"), F.date_from_unix_date("last").alias("last_date"))
+
+
+def aggregate_columns(rows: DataFrame, sets, templates: list[str], rule_of: list[str], least: float = 0.0) -> DataFrame:
+    """Raw sums per template and itemset, with distinct tickers, from columns: for few templates and small libraries. Sums are doubles."""
     exploded = rows.select("ticker", "entry_rule", F.explode(sets).alias("itemset"), *[c for i in range(len(templates)) for c in (f"r{i}", f"h{i}")])
     each, names = [], []
     for i in range(len(templates)):
@@ -63,6 +84,17 @@ def finished(raw: DataFrame) -> DataFrame:
     return raw.selectExpr("template", "itemset", "tickers", "trades", "profitable", "successful", "take_profits", *[x.strip() for x in (f"{r('successful * 1e2 / trades')} AS success_rate_pct", f"{r('profitable * 1e2 / trades')} AS profitable_rate_pct", f"{r('take_profits * 1e2 / trades')} AS take_profit_rate_pct", f"{r('net / trades')} AS avg_return_pct", f"{r('net')} AS net_return_pct", f"{r(metrics.profit_factor())} AS profit_factor", "gross_loss = 0 AND gross_profit > 0 AS pf_is_inf")])
 
 
+#: Compounding over this many e-folds is not spelt out: the log stands for it.
+FOLDS = 16
+
+
+def complete() -> str:
+    """All that is reported of an itemset, from raw sums: one text for both engines."""
+    growth = f"logs / {counting.LOG_UNIT:.0f}e0"
+    rates = [f"{r(f'{n} * 1e2 / trades')} AS {rate}" for n, rate in (("successful", "success_rate_pct"), ("profitable", "profitable_rate_pct"), ("take_profits", "take_profit_rate_pct"), ("stop_losses", "stop_loss_rate_pct"), ("time_caps", "time_cap_rate_pct"))]
+    return ", ".join(["template", "itemset", "tickers", "trades", "profitable", "successful", "take_profits", "stop_losses", "time_caps", *rates, f"{r('net / trades')} AS avg_return_pct", f"{r('net')} AS net_return_pct", f"{r(metrics.profit_factor())} AS profit_factor", "gross_loss = 0 AND gross_profit > 0 AS pf_is_inf", f"CASE WHEN wiped > 0 THEN NULL ELSE {r(growth)} END AS growth_log", f"CASE WHEN wiped > 0 THEN -1e2 WHEN {growth} <= {FOLDS} THEN {r(f'(exp({growth}) - 1) * 100', 1)} END AS cumulative_return_pct", "first_date", "last_date"])
+
+
 def promoted_pairs(summary: DataFrame, trades: int = PRE_TRADES, win: float = PRE_WIN, factor: float = PRE_FACTOR, most: int = PRE_PAIRS) -> DataFrame:
     """Feature pairs whose best two-state set passes; states and templates are ignored. At most ``most``, ties by place."""
     a, b = F.floor((F.col("itemset") % 1024 - 1) / 16).cast("int"), F.floor((F.floor(F.col("itemset") / 1024) % 1024 - 1) / 16).cast("int")

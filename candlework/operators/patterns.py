@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators import mining
+from candlework.operators import counting, mining
 
 KEY = ("template", "itemset")
 #: Scores of six-digit numbers can end in a five; with this added such a tie goes up in any engine.
@@ -44,7 +44,7 @@ def trades(states: DataFrame, samples: DataFrame, approved: DataFrame, places: l
     """All trades of approved patterns: states are exploded once and meet approved itemsets before they meet samples."""
     sets = F.concat(*[mining.itemsets(k, places) for k in sizes])
     wanted = approved.select(*KEY)
-    exploded = states.select("ticker", "trade_date", "entry_rule", F.explode(sets).alias("itemset")).join(wanted, "itemset")
+    exploded = counting.spread(states).select("ticker", "trade_date", "entry_rule", F.explode(sets).alias("itemset")).join(wanted, "itemset")
     keep = ["template", "ticker", "trade_date", "entry_rule", "exit_date", "exit_reason", "trade_return_pct"]
     return exploded.join(samples.select(*keep), ["template", "ticker", "trade_date", "entry_rule"]).select(*KEY, "ticker", "trade_date", "exit_date", "exit_reason", "trade_return_pct")
 

@@ -37,14 +37,15 @@ def _exits(templates, spark, sf_dir):
 
 
 def mined_rows(spark, sf_dir, templates=None):
-    spot = bars.spot_bars(spark, sf_dir)
+    spot = spool(bars.spot_bars(spark, sf_dir), "bars")
     states = mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get)
-    return spool(mining.with_outcomes(states, spool(exits.samples(spot, templates or TEMPLATES), "samples"), NAMES), "mined")
+    templates = templates or TEMPLATES
+    return spool(mining.with_outcomes(states, spool(exits.samples(spot, templates), "samples"), [t["template"] for t in templates]), "mined")
 
 
 def _mined(size, spark, sf_dir, rows=None):
     rows = mined_rows(spark, sf_dir) if rows is None else rows
-    return mining.finished(mining.aggregate(rows, mining.itemsets(size, PLACES), NAMES, RULES))
+    return mining.finished(mining.aggregate(rows, size, PLACES, NAMES, RULES))
 
 
 def promoted(spark, sf_dir):
@@ -55,7 +56,7 @@ def three(gates, spark, sf_dir):
     rows = mined_rows(spark, sf_dir)
     best = mining.promoted_pairs(_mined(2, spark, sf_dir, rows), **gates)
     pairs = [(x.a, x.b) for x in best.collect()]  # bounded by most; shapes the next plan
-    return mining.finished(mining.aggregate(rows, mining.itemsets(3, PLACES, pairs), NAMES, RULES))
+    return mining.finished(mining.aggregate(rows, 3, PLACES, NAMES, RULES, pairs))
 
 
 def summary(spark, sf_dir):

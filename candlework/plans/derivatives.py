@@ -54,9 +54,9 @@ def _option_states(spark, d):
 
 def e4_summary(spark, d):
     samples = options.discovery_samples(bars.spot_bars(spark, d), bars.option_bars(spark, d))
-    rows = spool(mining.with_outcomes(_option_states(spark, d), samples, _TEMPLATES), "option-rows")
+    rows = spool(mining.with_columns(_option_states(spark, d), samples, _TEMPLATES), "option-rows")
     rules = ["open"] * len(_TEMPLATES)
-    both = [mining.aggregate(rows, mining.itemsets(k, _PLACES), _TEMPLATES, rules) for k in (1, 2)]
+    both = [mining.aggregate_columns(rows, mining.itemsets(k, _PLACES), _TEMPLATES, rules) for k in (1, 2)]
     return mining.named(mining.finished(both[0].unionByName(both[1])), _KEYS, _LADDER)
 
 

@@ -31,7 +31,7 @@ def _inputs(spark, d):
 
 
 def _mine(spark, d):
-    spot = bars.spot_bars(spark, d)
+    spot = spool(bars.spot_bars(spark, d), "bars")
     states = spool(mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get), "states")
     samples = spool(exits.samples(spot, assets.TEMPLATES), "samples")
     rows = spool(mining.with_outcomes(states, samples, assets.NAMES), "mined")

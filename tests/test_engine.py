@@ -75,8 +75,8 @@ def test_three_states_of_all_default_pairs(spark, monkeypatch):
     from candlework.plans import assets
 
     items = [16 * p for p in assets.PLACES[:5]]
-    rows = [("T", "open", items, *[x for _ in assets.NAMES for x in (1.0, 1)]) for _ in range(60)]
-    schema = "ticker string, entry_rule string, items array<int>, " + ", ".join(f"r{i} double, h{i} int" for i in range(len(assets.NAMES)))
+    rows = [("T", dt.date(2026, 1, 1) + dt.timedelta(i), "open", items, [(t, 1.0, 1) for t in range(len(assets.NAMES))]) for i in range(60)]
+    schema = "ticker string, trade_date date, entry_rule string, items array<int>, outcomes array<struct<t:int, x:double, e:int>>"
     monkeypatch.setattr(assets, "mined_rows", lambda spark, d: spark.createDataFrame(rows, schema))
     got = {r.itemset for r in assets.QUERIES["itemset_3f_default"](spark, "").collect()}
     assert got == {a + 1 + (b + 1) * 1024 + (c + 1) * 1024**2 for a, b, c in combinations(items, 3)}
