@@ -18,14 +18,20 @@ GATE = "trades >= 200 AND tickers >= 20 AND success_rate_pct >= 60 AND take_prof
 SPLIT, AS_OF = "1996-01-01", "1998-06-30"
 
 
-#: States and trades by session and the files that they come from: mining is the dear part and all reports share it.
+#: States and trades of the tables as they are: mining is the dear part and all reports share it.
 _mined: dict[tuple, tuple] = {}
 
 
+def _version(spark, d):
+    """The session, and path, length and time of every file: a table that is written again is another one."""
+    files = spark.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in ("lineitem", "part")]).select("path", "length", "modificationTime")
+    return (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))
+
+
 def _inputs(spark, d):
-    files = [sorted(spark.read.parquet(f"{d}/{t}.parquet").inputFiles()) for t in ("lineitem", "part")]
-    key = (spark.sparkContext.applicationId, *map(tuple, files))
+    key = _version(spark, d)
     if key not in _mined:
+        _mined.clear()
         _mined[key] = _mine(spark, d)
     return _mined[key]
 
@@ -78,8 +84,9 @@ _exits: dict[tuple, object] = {}
 def _exit_sums(spark, d):
     """Sums of every approved pattern, pair and ticker: made once a session, as the patterns are."""
     states, trades = _inputs(spark, d)
-    key = next(k for k, v in _mined.items() if v[1] is trades)
+    key = _version(spark, d)
     if key not in _exits:
+        _exits.clear()
         samples = spool(exits.samples(bars.spot_bars(spark, d), exit_grid.TEMPLATES), "grid-samples")
         _exits[key] = spool(exit_grid.variants(states, samples, trades.select(*patterns.KEY).distinct(), assets.PLACES), "exit-sums")
     return _exits[key]
