@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlework.sinks.spool import spool
@@ -220,17 +220,20 @@ def _task(expand: Callable, pairable: list[int], by_rule: dict[str, list[int]],
     return work
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many parts for so many rows of work: a part for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // RANGE))
+
+
 def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
     """Rows in ranges of rule, ticker and day; as many ranges as there are cores, or more if rows ask for it."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     by = ("entry_rule", "ticker", "day")
-    return rows.repartitionByRange(max(cores, -(-n_rows // RANGE)), *by).sortWithinPartitions(*by)
+    return rows.repartitionByRange(tasks(rows.sparkSession, n_rows), *by).sortWithinPartitions(*by)
 
 
 def spread(states: DataFrame) -> DataFrame:
     """Rows dealt out by what they will be expanded to, not by their few bytes."""
-    cores = states.sparkSession.sparkContext.defaultParallelism
-    return states.repartition(max(cores, -(-states.count() // RANGE)), "ticker", "entry_rule", "trade_date")
+    return states.repartition(tasks(states.sparkSession, states.count()), "ticker", "entry_rule", "trade_date")
 
 
 def totals(rows: DataFrame, expand: Callable, pairable: list[int], rule_of: list[str], least: float, n_rows: int) -> DataFrame:

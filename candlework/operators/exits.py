@@ -63,5 +63,11 @@ def steps(templates: list[dict], start: str | None = None, end: str | None = Non
 SAMPLES_FINAL = f"SELECT template, ticker, trade_date, exit_date, exit_reason, {r('entry_price', 9)} AS entry_price, {r('exit_price', 9)} AS exit_price, trade_return_pct FROM samples"
 
 
-def samples(bars: DataFrame, templates: list[dict], start: str | None = None, end: str | None = None) -> DataFrame:
-    return run(bars.sparkSession, steps(templates, start, end), "SELECT * FROM samples", bars=bars)
+def samples(bars: DataFrame, templates: list[dict], start: str | None = None, end: str | None = None, tasks: int | None = None) -> DataFrame:
+    """A row per entry bar and template. ``tasks``: parts in which bars meet templates; else as few as their bytes ask for."""
+    spark, plan = bars.sparkSession, steps(templates, start, end)
+    if tasks is None:
+        return run(spark, plan, "SELECT * FROM samples", bars=bars)
+    cut = [name for name, _ in plan].index("templates")
+    ahead = run(spark, plan[:cut], f"SELECT * FROM {plan[cut - 1][0]}", bars=bars).repartition(tasks, "ticker", "trade_date")
+    return run(spark, plan[cut:], "SELECT * FROM samples", **{plan[cut - 1][0]: ahead})

@@ -6,7 +6,6 @@ of the entry bar. Features are computed once per bar in one window pass; an open
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from candlework.functions import ladders
@@ -130,7 +129,7 @@ EMA_SQL = [
 
 
 def ema(values: list[float], period: int) -> list[float | None]:
-    """Exponential average seeded by the mean of the first values; null before."""
+    """The plain recursion that ``sequential`` stands for: seeded by the mean of the first values; null before."""
     out: list[float | None] = [None] * len(values)
     if len(values) >= period:
         now = sum(values[:period]) / period
@@ -142,7 +141,7 @@ def ema(values: list[float], period: int) -> list[float | None]:
 
 
 def rsi(closes: list[float], period: int = 14) -> list[float | None]:
-    """Wilder's index; null for the first bars, 100 without losses."""
+    """Wilder's index by its recursion; null for the first bars, 100 without losses."""
     out: list[float | None] = [None] * len(closes)
     moves = [b - a for a, b in zip(closes, closes[1:], strict=False)]
     gain = loss = 0.0
@@ -157,15 +156,36 @@ def rsi(closes: list[float], period: int = 14) -> list[float | None]:
     return out
 
 
-def sequential(bars: DataFrame) -> DataFrame:
-    """ema9, ema21 and rsi14 of every bar: the one feature group that is a recursion. A group is one ticker's days."""
+#: Bars of a block, and earlier blocks whose end still weighs in a double: the slowest average keeps (13 / 14) ** 64 = 0.0087 of a value over one.
+SPAN, BACK = 64, 8
+#: name -> (first bar, its seed, what later bars add, the share that a bar leaves of what was before)
+AVERAGES = {
+    "e9": (9, "avg(c) OVER (PARTITION BY ticker ORDER BY rn ROWS 8 PRECEDING)", "c * 2 / 10", 8 / 10),
+    "e21": (21, "avg(c) OVER (PARTITION BY ticker ORDER BY rn ROWS 20 PRECEDING)", "c * 2 / 22", 20 / 22),
+    "g": (15, "avg(greatest(d, 0e0)) OVER (PARTITION BY ticker ORDER BY rn ROWS 13 PRECEDING)", "greatest(d, 0e0) / 14", 13 / 14),
+    "q": (15, "avg(greatest(-d, 0e0)) OVER (PARTITION BY ticker ORDER BY rn ROWS 13 PRECEDING)", "greatest(-d, 0e0) / 14", 13 / 14),
+}
+
+
+def _scan_steps() -> list[tuple[str, str]]:
+    """An average is x -> keep * x + added, bar by bar. Such maps compose, so a block of bars is one of them:
+    its own sum first, then what the ends of the blocks before it leave."""
+    ends = lambda n, keep: " + ".join(f"{keep ** (SPAN * k)!r} * coalesce(lag(p_{n}, {k}) OVER (PARTITION BY ticker ORDER BY block), 0e0)" if k else f"p_{n}" for k in range(BACK))
+    return [
+        ("a0", f"SELECT ticker, trade_date, CAST(close AS DOUBLE) AS c, row_number() OVER ({BY_BAR}) AS rn, close - lag(close) OVER ({BY_BAR}) AS d FROM bars"),
+        ("a1", f"SELECT ticker, trade_date, rn, CAST(floor((rn - 1) / {SPAN}e0) AS INT) AS block, CAST((rn - 1) % {SPAN} AS INT) AS at, " + ", ".join(f"CASE WHEN rn = {first} THEN {seed} WHEN rn > {first} THEN {added} ELSE 0e0 END AS v_{n}" for n, (first, seed, added, _) in AVERAGES.items()) + " FROM a0"),
+        ("a2", "SELECT ticker, trade_date, rn, block, at, " + ", ".join(f"sum(v_{n} * power({1 / keep!r}D, at)) OVER (PARTITION BY ticker, block ORDER BY at) * power({keep!r}D, at) AS p_{n}" for n, (_, _, _, keep) in AVERAGES.items()) + " FROM a1"),
+        ("a3", "SELECT ticker, block + 1 AS block, " + ", ".join(f"{ends(n, keep)} AS i_{n}" for n, (_, _, _, keep) in AVERAGES.items()) + f" FROM a2 WHERE at = {SPAN - 1}"),
+        ("a4", "SELECT x.ticker, x.trade_date, x.rn, " + ", ".join(f"p_{n} + coalesce(i_{n}, 0e0) * power({keep!r}D, at + 1) AS {n}" for n, (_, _, _, keep) in AVERAGES.items()) + " FROM a2 x LEFT JOIN a3 y ON y.ticker = x.ticker AND y.block = x.block"),
+    ]
+
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        c = pdf["close"].tolist()
-        return pd.DataFrame({"ticker": pdf["ticker"], "trade_date": pdf["trade_date"], "ema9": ema(c, 9), "ema21": ema(c, 21), "rsi14": rsi(c)}).astype({"ema9": float, "ema21": float, "rsi14": float})
+_SCANNED = "SELECT ticker, trade_date, CASE WHEN rn >= 9 THEN e9 END AS ema9, CASE WHEN rn >= 21 THEN e21 END AS ema21, CASE WHEN rn < 15 THEN NULL WHEN q = 0 THEN 1e2 ELSE 100 - 100 / (1 + g / q) END AS rsi14 FROM a4"
 
-    return bars.select("ticker", "trade_date", "close").groupBy("ticker").applyInPandas(walk, "ticker string, trade_date date, ema9 double, ema21 double, rsi14 double")
+
+def sequential(bars: DataFrame) -> DataFrame:
+    """ema9, ema21 and rsi14 of every bar: recursions, as a scan over blocks of each ticker's days (see ema and rsi)."""
+    return run(bars.sparkSession, _scan_steps(), _SCANNED, bars=bars)
 
 
 def state_count_final(key: str, option: bool = False) -> str:

@@ -84,15 +84,17 @@ def finished(raw: DataFrame) -> DataFrame:
     return raw.selectExpr("template", "itemset", "tickers", "trades", "profitable", "successful", "take_profits", *[x.strip() for x in (f"{r('successful * 1e2 / trades')} AS success_rate_pct", f"{r('profitable * 1e2 / trades')} AS profitable_rate_pct", f"{r('take_profits * 1e2 / trades')} AS take_profit_rate_pct", f"{r('net / trades')} AS avg_return_pct", f"{r('net')} AS net_return_pct", f"{r(metrics.profit_factor())} AS profit_factor", "gross_loss = 0 AND gross_profit > 0 AS pf_is_inf")])
 
 
+#: Net returns have nine digits and can end in a five: with this added such a tie goes up in any engine.
+NUDGE = "1e-10"
 #: Compounding over this many e-folds is not spelt out: the log stands for it.
 FOLDS = 16
 
 
-def complete() -> str:
+def complete() -> list[str]:
     """All that is reported of an itemset, from raw sums: one text for both engines."""
     growth = f"logs / {counting.LOG_UNIT:.0f}e0"
     rates = [f"{r(f'{n} * 1e2 / trades')} AS {rate}" for n, rate in (("successful", "success_rate_pct"), ("profitable", "profitable_rate_pct"), ("take_profits", "take_profit_rate_pct"), ("stop_losses", "stop_loss_rate_pct"), ("time_caps", "time_cap_rate_pct"))]
-    return ", ".join(["template", "itemset", "tickers", "trades", "profitable", "successful", "take_profits", "stop_losses", "time_caps", *rates, f"{r('net / trades')} AS avg_return_pct", f"{r('net')} AS net_return_pct", f"{r(metrics.profit_factor())} AS profit_factor", "gross_loss = 0 AND gross_profit > 0 AS pf_is_inf", f"CASE WHEN wiped > 0 THEN NULL ELSE {r(growth)} END AS growth_log", f"CASE WHEN wiped > 0 THEN -1e2 WHEN {growth} <= {FOLDS} THEN {r(f'(exp({growth}) - 1) * 100', 1)} END AS cumulative_return_pct", "first_date", "last_date"])
+    return ["template", "itemset", "tickers", "trades", "profitable", "successful", "take_profits", "stop_losses", "time_caps", *rates, f"{r('net / trades')} AS avg_return_pct", f"{r(f'net + {NUDGE}')} AS net_return_pct", f"{r(metrics.profit_factor())} AS profit_factor", "gross_loss = 0 AND gross_profit > 0 AS pf_is_inf", f"CASE WHEN wiped > 0 THEN NULL ELSE {r(growth)} END AS growth_log", f"CASE WHEN wiped > 0 THEN -1e2 WHEN {growth} <= {FOLDS} THEN {r(f'(exp({growth}) - 1) * 100', 1)} END AS cumulative_return_pct", "first_date", "last_date"]
 
 
 def promoted_pairs(summary: DataFrame, trades: int = PRE_TRADES, win: float = PRE_WIN, factor: float = PRE_FACTOR, most: int = PRE_PAIRS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from candlework.functions import metrics
 from candlework.functions.sql import chain, in_duckdb, r
-from candlework.operators import exits, features, mining
+from candlework.operators import counting, exits, features, mining
 from candlework.sinks.spool import spool
 from candlework.sources import bars
 
@@ -40,7 +40,8 @@ def mined_rows(spark, sf_dir, templates=None):
     spot = spool(bars.spot_bars(spark, sf_dir), "bars")
     states = mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get)
     templates = templates or TEMPLATES
-    return spool(mining.with_outcomes(states, spool(exits.samples(spot, templates), "samples"), [t["template"] for t in templates]), "mined")
+    traded = exits.samples(spot, templates, tasks=counting.tasks(spark, spot.count() * len(templates) // 8))
+    return spool(mining.with_outcomes(states, spool(traded, "samples"), [t["template"] for t in templates]), "mined")
 
 
 def _mined(size, spark, sf_dir, rows=None):

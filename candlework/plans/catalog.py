@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlework.plans import assets, derivatives, equities, ledger, patterns
+from candlework.plans import assets, derivatives, equities, ledger, miner, patterns
 
-QUERIES = equities.QUERIES | assets.QUERIES | derivatives.QUERIES | patterns.QUERIES | ledger.QUERIES
-ORACLE_SQL = equities.ORACLE_SQL | assets.ORACLE_SQL | derivatives.ORACLE_SQL | patterns.ORACLE_SQL | ledger.ORACLE_SQL
+QUERIES = equities.QUERIES | assets.QUERIES | derivatives.QUERIES | patterns.QUERIES | ledger.QUERIES | miner.QUERIES
+ORACLE_SQL = equities.ORACLE_SQL | assets.ORACLE_SQL | derivatives.ORACLE_SQL | patterns.ORACLE_SQL | ledger.ORACLE_SQL | miner.ORACLE_SQL

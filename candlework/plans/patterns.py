@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from candlework.functions.sql import chain, in_duckdb
-from candlework.operators import exit_grid, exits, features, mining, patterns
+from candlework.operators import counting, exit_grid, exits, features, mining, patterns
 from candlework.plans import assets
 from candlework.sinks.spool import spool
 from candlework.sources import bars
@@ -39,7 +39,7 @@ def _inputs(spark, d):
 def _mine(spark, d):
     spot = spool(bars.spot_bars(spark, d), "bars")
     states = spool(mining.packed_states(spool(features.values(spot), "values"), features.KEYS, features.LADDER.get), "states")
-    samples = spool(exits.samples(spot, assets.TEMPLATES), "samples")
+    samples = spool(exits.samples(spot, assets.TEMPLATES, tasks=counting.tasks(spark, spot.count() // 2)), "samples")
     rows = spool(mining.with_outcomes(states, samples, assets.NAMES), "mined")
     both = assets._mined(1, spark, d, rows).unionByName(assets._mined(2, spark, d, rows))
     approved = spool(both.where(GATE), "approved")
@@ -87,7 +87,8 @@ def _exit_sums(spark, d):
     key = _version(spark, d)
     if key not in _exits:
         _exits.clear()
-        samples = spool(exits.samples(bars.spot_bars(spark, d), exit_grid.TEMPLATES), "grid-samples")
+        spot = spool(bars.spot_bars(spark, d), "bars")
+        samples = spool(exits.samples(spot, exit_grid.TEMPLATES, tasks=counting.tasks(spark, spot.count() * len(exit_grid.TEMPLATES) // 8)), "grid-samples")
         _exits[key] = spool(exit_grid.variants(states, samples, trades.select(*patterns.KEY).distinct(), assets.PLACES), "exit-sums")
     return _exits[key]
 

@@ -52,6 +52,24 @@ def test_scalars():
     assert ladders.codes("rsi") == ["oversold", "low", "neutral_low", "neutral_high", "high", "overbought"]
 
 
+def test_scanned_averages_equal_the_recursions(spark):
+    import random
+
+    draw, rows, day = random.Random(2), [], dt.date(2010, 1, 1)
+    series = {"LONG": 1500, "BLOCK": 64, "NEXT": 65, "SHORT": 14, "TINY": 3, "FLAT": 200, "UP": 300}
+    for name, n in series.items():
+        c = 50.0
+        for i in range(n):
+            c = 50.0 if name == "FLAT" else c + 1 if name == "UP" else max(1.0, c * (1 + draw.uniform(-0.04, 0.04)))
+            rows.append((name, day + dt.timedelta(i), c))
+    got = features.sequential(spark.createDataFrame(rows, "ticker string, trade_date date, close double")).orderBy("ticker", "trade_date").collect()
+    for name in series:
+        closes = [c for t, _, c in rows if t == name]
+        mine = [r for r in got if r.ticker == name]
+        for column, want in (("ema9", features.ema(closes, 9)), ("ema21", features.ema(closes, 21)), ("rsi14", features.rsi(closes))):
+            assert [None if r[column] is None else round(r[column], 9) for r in mine] == [None if x is None else round(x, 9) for x in want], (name, column)
+
+
 def test_option_target_stop_and_atm(spark):
     day = lambda m, d: dt.date(2026, m, d)
     spot = spark.createDataFrame([("AAAA3", day(3, 1), 100.0, 101.0, 99.0, 100.0, 1, 1), ("AAAA3", day(3, 2), 98.0, 101.0, 97.0, 99.0, 1, 1), ("AAAA3", day(3, 10), 98.0, 101.0, 97.0, 99.0, 1, 1), ("AAAA3", day(3, 20), 98.0, 101.0, 97.0, 99.0, 1, 1)], src.SPOT)
@@ -82,6 +100,44 @@ def test_three_states_of_all_default_pairs(spark, monkeypatch):
     assert got == {a + 1 + (b + 1) * 1024 + (c + 1) * 1024**2 for a, b, c in combinations(items, 3)}
 
 
+def test_rows_are_dealt_to_all_cores_and_sums_equal_a_plain_count(spark):
+    import random
+    from collections import defaultdict
+    from itertools import combinations
+
+    from candlework.operators import counting, mining
+
+    draw, rows, day = random.Random(5), [], dt.date(2020, 1, 1)
+    for ticker, n in (("HOT", 400), ("A", 40), ("B", 3)):
+        for i in range(n):
+            for rule in ("open", "close"):
+                items = [16 * f + draw.randrange(3) for f in range(6) if draw.random() < 0.9]
+                outcomes = [(t, round(draw.choice([2.0, -1.0, -100.0, draw.uniform(-3, 3)]), 9), draw.choice([0, 1, 2, 3])) for t in ((0, 2) if rule == "open" else (1,)) if draw.random() < 0.9]
+                rows.append((ticker, day + dt.timedelta(i), rule, items, outcomes))
+    df = spark.createDataFrame(rows, "ticker string, trade_date date, entry_rule string, items array<int>, outcomes array<struct<t:int, x:double, e:int>>")
+    assert counting.dealt(df.selectExpr("*", "unix_date(trade_date) AS day"), len(rows)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    places, pairs = [0, 1, 2, 4, 5], [(0, 2), (1, 5)]
+    for size in (1, 2, 3):
+        want = defaultdict(lambda: [set(), []])
+        for ticker, d, rule, items, outcomes in rows:
+            fit = items if size == 1 else [x for x in items if x // 16 in places]
+            for s in combinations(fit, size):
+                if size == 3 and not any(p in pairs for p in combinations([x // 16 for x in s], 2)):
+                    continue
+                for t, x, e in outcomes:
+                    key = (f"t{t}", sum((x + 1) << 10 * i for i, x in enumerate(s)))
+                    want[key][0].add(ticker)
+                    want[key][1].append((x, e, d))
+        got = mining.aggregate(df, size, places, ["t0", "t1", "t2"], ["open", "close", "open"], pairs).collect()
+        assert {(r.template, r.itemset) for r in got} == set(want) and len(got) == len(want)
+        for r in got:
+            tickers, trades = want[r.template, r.itemset]
+            assert (r.tickers, r.trades, r.profitable, r.successful) == (len(tickers), len(trades), sum(x > 0 for x, _, _ in trades), sum(x >= 0 for x, _, _ in trades))
+            assert (r.take_profits, r.stop_losses, r.time_caps, r.wiped) == (*(sum(e == k for _, e, _ in trades) for k in (1, 2, 3)), sum(x <= -100 for x, _, _ in trades))
+            assert r.net == pytest.approx(sum(x for x, _, _ in trades), abs=1e-8) and r.gross_loss == pytest.approx(-sum(min(x, 0) for x, _, _ in trades), abs=1e-8)
+            assert (r.first_date, r.last_date) == (min(d for _, _, d in trades), max(d for _, _, d in trades))
+
+
 def test_entry_lists_queries_and_sql():
     import __spark_entry__ as e
 
