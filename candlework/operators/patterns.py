@@ -155,3 +155,33 @@ def signals(states: DataFrame, scored: DataFrame, tickers: DataFrame, places: li
     return rows.withColumn("score", F.round(score + NUDGE, 4)).withColumn("place", F.row_number().over(order)).select(*KEY, "ticker", "trade_date", "n", "win", "av", "pf", "ticker_n", "ticker_av", "qualified", "ticker_signals", "score", "place")
 
 
+def validated(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Every pattern's measures over all days beside those of entries from ``start`` to ``end``; without any of these: zeros.
+
+    States look back over the whole series; only entries are bounded, so nothing later than an entry is seen.
+    """
+    inside = F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    late = measures(df.where(inside), KEY).select(*KEY, *[F.col(c).alias(f"validation_{c}") for c in ("n", "tickers", "wins", "win", "av", "net", "pf")])
+    whole = measures(df, KEY).select(*KEY, "n", "win", "av", "pf")
+    counts, rates = ("n", "tickers", "wins"), ("win", "av", "net", "pf")
+    zeros = {f"validation_{c}": F.coalesce(f"validation_{c}", F.lit(0).cast("long")) for c in counts} | {f"validation_{c}": F.coalesce(f"validation_{c}", F.lit(0.0)) for c in rates}
+    return whole.join(late, list(KEY), "left").withColumns(zeros)
+
+
+def leading(tickers: DataFrame, least: int, most: int) -> DataFrame:
+    """The first ``most`` tickers of each pattern with ``least`` trades: by net, average and trades."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc("net"), F.desc("av"), F.desc("n"), "ticker")
+    return tickers.where(F.col("n") >= least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def recurrence(tickers: DataFrame, least: int = 5, most: int = 5, top: int = 25) -> DataFrame:
+    """The tickers that lead most patterns, and how often each is the first of them."""
+    rows = leading(tickers, least, most).groupBy("ticker").agg(F.count(F.lit(1)).alias("patterns"), F.count_if(F.col("place") == 1).alias("firsts"))
+    return rows.orderBy(F.desc("patterns"), "ticker").limit(top)
+
+
+def ticker_totals(tickers: DataFrame, least: int = 5) -> DataFrame:
+    """All patterns of a ticker together: how many, trades, sum of nets, mean of averages, best net; the largest sum first."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
+    rows = tickers.where(F.col("n") >= least).groupBy("ticker").agg(F.count(F.lit(1)).alias("patterns"), F.sum("n").alias("trades"), exact("net").alias("net"), exact("av").alias("avs"), F.max("net").alias("best_net"))
+    return rows.select("ticker", "patterns", "trades", "net", F.round(F.col("avs") / F.col("patterns") + NUDGE, 4).alias("mean_av"), "best_net").orderBy(F.desc("net"), F.desc("patterns"), F.desc("trades"), "ticker")

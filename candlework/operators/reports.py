@@ -5,12 +5,11 @@ Everything reads ``samples`` (template, ticker, trade_date, trade_return_pct, ex
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from candlework.functions import metrics
 from candlework.functions.sql import r
+from candlework.operators import refinement
 
 SPLIT = "1999-01-01"
 
@@ -101,33 +100,9 @@ def refine_steps(gate: dict = TEST_GATE, split: str = SPLIT):
     ]
 
 
-def verdicts(candidates: DataFrame, overlap: DataFrame, share: float = GATE["overlap"]) -> DataFrame:
-    """All candidates and duplicate_of: null if one stays, else the best kept one of its template that it overlaps by ``share``.
-
-    They are seen best robustness first; what does not stay hides nobody.
-    """
-    near = overlap.where(f"share >= {share}").selectExpr("template", "first_set", "second_set")
-
-    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["robustness", "val_net", "avg_uplift", "pf_uplift", "itemset"], ascending=[False, False, False, False, True])
-        close: dict[int, set[int]] = {}
-        for a, b in zip(right["first_set"], right["second_set"], strict=True):
-            close.setdefault(a, set()).add(b)
-            close.setdefault(b, set()).add(a)
-        place: dict[int, int] = {}
-        hidden_by = []
-        for x in left["itemset"]:
-            hidden_by.append(min(close.get(x, set()) & place.keys(), key=place.__getitem__, default=None))
-            if hidden_by[-1] is None:
-                place[x] = len(place)
-        return left.assign(duplicate_of=pd.array(hidden_by, "Int64"))
-
-    return candidates.groupBy("template").cogroup(near.groupBy("template")).applyInPandas(judge, candidates.withColumn("duplicate_of", F.lit(None).cast("long")).schema)
-
-
 def greedy(candidates: DataFrame, overlap: DataFrame, share: float = GATE["overlap"]) -> DataFrame:
-    """Candidates that stay (see verdicts)."""
-    return verdicts(candidates, overlap, share).where("duplicate_of IS NULL").drop("duplicate_of")
+    """Candidates that stay (see refinement.verdicts)."""
+    return refinement.verdicts(candidates, overlap, share).where("duplicate_of IS NULL").drop("duplicate_of")
 
 
 # Monitor: which strategies fire on each ticker's latest bar.

@@ -6,7 +6,7 @@ from functools import partial
 
 from candlework.functions import ladders
 from candlework.functions.sql import chain, in_duckdb, r, run
-from candlework.operators import exits, features, mining, options, reports
+from candlework.operators import exits, features, mining, options, refinement, reports
 from candlework.plans import assets
 from candlework.sinks.spool import spool
 from candlework.sources import bars
@@ -109,7 +109,7 @@ def refine_low(what, spark, d):
     shared = run(spark, steps[steps.index(next(s for s in steps if s[0] == "keys")) :], "SELECT * FROM overlap", pattern_trades=inputs["pattern_trades"], candidates=chosen)
     if what == "overlap":
         return shared
-    return reports.verdicts(chosen, shared, reports.LOW_GATE["overlap"]).select("template", "itemset", "robustness", "val_net", "bucket", "duplicate_of")
+    return refinement.verdicts(chosen, shared, reports.LOW_GATE["overlap"]).select("template", "itemset", "robustness", "val_net", "bucket", "duplicate_of")
 
 
 # The oracle walks each template's candidates in order, one a round, with those that it kept so far.

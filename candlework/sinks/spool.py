@@ -6,14 +6,14 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from Parquet in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, in local mode."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +31,16 @@ def spool(df: DataFrame, name: str) -> DataFrame:
                 pass
 
         atexit.register(remove)
-    path = f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return _folders[app]
+
+
+def spool(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` from Parquet in the shared folder. Shuffle files of the write go as soon as it stands."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
