@@ -53,8 +53,8 @@ def _sum(x: Column, when: Column) -> Column:
     return F.coalesce(F.sum(F.when(when, x.cast("decimal(18,9)"))).cast("double"), F.lit(0.0))
 
 
-def measures(df: DataFrame, group: tuple[str, ...], periods: dict[str, Column] | None = None) -> DataFrame:
-    """Per group and period (a prefix and a condition): n, tp, win, sl, cap (rates), av, net and pf.
+def measures(df: DataFrame, group: tuple[str, ...], periods: dict[str, Column] | None = None, **more: Column) -> DataFrame:
+    """Per group and period (a prefix and a condition): n, tp, win, sl, cap (rates), av, net and pf; ``more`` aggregates by name.
 
     A profit factor without losses is 9999, of nothing 0; of a period without trades all but n and net are null.
     """
@@ -66,7 +66,8 @@ def measures(df: DataFrame, group: tuple[str, ...], periods: dict[str, Column] |
         out += [F.col(f"{name}n"), F.col(f"{name}wins")]
         out += [F.round(F.col(f"{name}{c}") * 100.0 / n, 6).alias(f"{name}{alias}") for c, alias in (("tps", "tp"), ("wins", "win"), ("sls", "sl"), ("caps", "cap"))]
         out += [F.round(F.col(f"{name}net0") / n + 0.0, 6).alias(f"{name}av"), F.round(F.col(f"{name}net0") + 0.0, 6).alias(f"{name}net"), F.round(pf, 6).alias(f"{name}pf")]
-    return df.groupBy(*group).agg(*sums).select(*group, "tickers", *out)
+    sums += [c.alias(name) for name, c in more.items()]
+    return df.groupBy(*group).agg(*sums).select(*group, "tickers", *out, *more)
 
 
 def by_ticker(df: DataFrame) -> DataFrame:
@@ -108,11 +109,16 @@ def best_of_each_state(scored: DataFrame) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
+def accuracy() -> Column:
+    """The score that weighs hits of the test period most."""
+    score = F.col("test_win") * 3 + F.col("test_tp") * 2.5 + F.col("win") * 1.4 + F.col("tp") * 1.1 + F.col("test_av") * 12 + F.least(F.col("test_pf"), F.lit(20.0)) * 4 + F.log10(F.greatest("test_n", F.lit(1))) * 10 - F.col("sl") * 0.8 - F.col("test_sl") * 1.2
+    return F.round(score + NUDGE, 4)
+
+
 def filters(scored: DataFrame) -> DataFrame:
     """Which named filters each pattern passes, and the accuracy score."""
     tests = {"elite": ELITE, "accurate": ACCURATE, "strict": STRICT, "robust": STRICT | ROBUST, "aggressive": STRICT | AGGRESSIVE, "listed": LISTED, "low": LOW}
-    accuracy = F.col("test_win") * 3 + F.col("test_tp") * 2.5 + F.col("win") * 1.4 + F.col("tp") * 1.1 + F.col("test_av") * 12 + F.least(F.col("test_pf"), F.lit(20.0)) * 4 + F.log10(F.greatest("test_n", F.lit(1))) * 10 - F.col("sl") * 0.8 - F.col("test_sl") * 1.2
-    return scored.select(*KEY, *[passes(limits).alias(name) for name, limits in tests.items()], F.round(accuracy + NUDGE, 4).alias("accuracy"))
+    return scored.select(*KEY, *[passes(limits).alias(name) for name, limits in tests.items()], accuracy().alias("accuracy"))
 
 
 def operational(scored: DataFrame, tickers: DataFrame, limits: dict = OPERATIONAL) -> DataFrame:

@@ -114,12 +114,12 @@ _FINAL = {
 _KEPT = ("bars", "valued", "packed", "samples", "sets1", "sets", "approved", "ptrades", "whole", "per_ticker", "held_sets", "weighed")
 
 
-def _kept(sql: str) -> str:
+def kept_steps(sql: str) -> str:
     """Steps that DuckDB is to work out once, as they stand."""
     return re.sub(rf"(?m)^((?:WITH RECURSIVE )?(?:{'|'.join(_KEPT)})) AS \(", r"\g<1> AS MATERIALIZED (", sql)
 
 
-ORACLE_SQL = {name: _kept(in_duckdb(chain(_MINED + (mined._LATEST + _SIGNALS if name.startswith("monitor") else []), final, True))) for name, final in _FINAL.items()}
+ORACLE_SQL = {name: kept_steps(in_duckdb(chain(_MINED + (mined._LATEST + _SIGNALS if name.startswith("monitor") else []), final, True))) for name, final in _FINAL.items()}
 
 _D = "CAST(trade_return_pct AS DECIMAL(18, 9))"
 _G = REASONS
