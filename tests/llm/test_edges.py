@@ -212,15 +212,40 @@ def test_neighbours_of_odd_tables(spark):
     assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(-s, i) for s, i in want]
 
 
-def test_index_finds_all_codes_within_the_radius():
+def test_index_finds_all_codes_within_the_radius_and_prunes_clusters():
     draw = np.random.default_rng(3)
-    code = draw.integers(0, 1 << 63, 6000, dtype=np.uint64) ^ (draw.integers(0, 2, 6000, dtype=np.uint64) << np.uint64(63))
-    index = ann.Index(code)
-    for q in code[:20]:
-        found = index.nearest(int(q), 100)
-        distance = np.bitwise_count(code ^ q)
-        reach = distance[found].max()
-        assert 100 <= len(found) < len(code) and set(np.flatnonzero(distance <= reach)) == set(found.tolist())
+    for spread, most in ((0.3, 0.6), (5.0, 1.0)):
+        x = draw.normal(size=(100, 64))[draw.integers(0, 100, 6000)] + spread * draw.normal(size=(6000, 64))
+        mean, projection = ann.learn_rotation(x[: ann.SAMPLE])
+        code, centred = ann.codes(x, mean, projection), x - mean
+        centred /= np.sqrt((centred**2).sum(axis=1, keepdims=True))
+        index, share = ann.Index(code), []
+        for q in range(40):
+            found, scores, visited = index.search(int(code[q]), lambda i: (x[i] @ x[q], centred[i] @ centred[q]), 21)  # noqa: B023
+            distance = np.bitwise_count(code ^ code[q])
+            assert len(set(found.tolist())) == len(found) >= 21 and np.allclose(scores, x[found] @ x[q])
+            assert set(np.flatnonzero(distance <= distance[found].max())) == set(found.tolist())
+            share.append((visited / len(x), len(found) / len(x)))
+        seen, scored = np.mean(share, axis=0)
+        print(f"spread {spread}: visited {seen:.3f}, scored {scored:.3f}")
+        assert seen <= most and (scored < 0.2 or spread > 1)
+
+
+def test_neighbours_of_shards_and_common_lengths(spark, monkeypatch):
+    """Just over 1,000 vectors, in several shards and blocks; two lengths as common: the shorter; copies keep their ids."""
+    monkeypatch.setattr(ann, "SHARD", 300)
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    x = np.random.default_rng(8).normal(size=(1001, 24))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(2000 + i, [1.0] * 25) for i in range(1001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0").select("vec_id")).collect()
+    assert {r.query_id for r in got} == set(range(0, 1001, 20)) and max(r.vec_id for r in got) < 1001
+    hits = 0
+    for q in range(0, 1001, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 51
 
 
 def test_url_scores_against_python(spark):
