@@ -221,7 +221,7 @@ def test_index_finds_all_codes_within_the_radius_and_prunes_clusters():
         centred /= np.sqrt((centred**2).sum(axis=1, keepdims=True))
         index, share = ann.Index(code), []
         for q in range(40):
-            found, scores, visited = index.search(int(code[q]), lambda i: (x[i] @ x[q], centred[i] @ centred[q]), 21)  # noqa: B023
+            found, scores, visited = index.search(int(code[q]), ann.scorer(x, x[q]), lambda i: centred[i] @ centred[q], 21)  # noqa: B023
             distance = np.bitwise_count(code ^ code[q])
             assert len(set(found.tolist())) == len(found) >= 21 and np.allclose(scores, x[found] @ x[q])
             assert set(np.flatnonzero(distance <= distance[found].max())) == set(found.tolist())
