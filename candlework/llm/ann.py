@@ -21,11 +21,12 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlework.llm.common import read, spool
+from candlework.llm.common import read, release, spool
 
 K, QUERY_EVERY = 20, 20
 BITS, PARTS = 64, 8
@@ -34,6 +35,8 @@ SAMPLE, ROUNDS = 4096, 30
 #: 0.990 and 34 % at 1.3, 1.000 and 54 % at 2.0, 1.000 and 72 % at 2.5; on 6,000 in 100 clusters 1.000 and 1 % at each.
 MARGIN = 2.0
 SHARD, BLOCK, LEAST_BLOCK = 32768, 32768, 256
+#: Most bytes that the vectors of a shard, or of a block, take as doubles, and queries whose products with a shard are made at once.
+VECTOR_BYTES, TOGETHER = 1 << 24, 32
 
 
 def learn_rotation(sample: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +68,10 @@ class Index:
     def __init__(self, code: np.ndarray):
         self.code = code
         width = BITS // PARTS
-        self.keys = [((code >> np.uint64(i * width)) & np.uint64((1 << width) - 1)).astype(np.int64) for i in range(PARTS)]
-        self.order = [np.argsort(k, kind="stable") for k in self.keys]
+        self.keys = [((code >> np.uint64(i * width)) & np.uint64((1 << width) - 1)).astype(np.uint8) for i in range(PARTS)]
+        self.order = [np.argsort(k, kind="stable").astype(np.int32) for k in self.keys]
         self.edge = [np.concatenate([[0], np.cumsum(np.bincount(k, minlength=1 << width))]) for k in self.keys]
-        self.balls = [np.array([sum(1 << b for b in c) for c in combinations(range(width), d)], np.int64) for d in range(width + 1)]
+        self.balls = [np.array([sum(1 << b for b in c) for c in combinations(range(width), d)], np.uint8) for d in range(width + 1)]
 
     def search(self, code: int, score, cosine, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Entries found, their scores, and how many codes were visited.
@@ -79,34 +82,38 @@ class Index:
         one as near may differ in (bits differ in a share angle / pi of planes), and probing ends when the radius is that.
         """
         n, width, need = len(self.code), BITS // PARTS, BITS
-        seen, visited, distance = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        scored, scores = np.zeros(0, np.int64), np.zeros(0)
-        done = np.zeros(0, bool)
+        seen, visited = np.zeros(n, bool), 0
+        waiting, distance = np.zeros(0, np.int32), np.zeros(0, np.uint8)  # visited, beyond the radius so far
+        scored, scores = np.zeros(0, np.int32), np.zeros(0)
         for d in range(width + 1):
             tables = min(PARTS, need - PARTS * d + 1)
             if tables <= 0:
                 break
+            fresh = []
             for i in range(tables):
-                values = (((code >> (i * width)) & ((1 << width) - 1)) ^ self.balls[d]).tolist()
-                got = np.concatenate([self.order[i][self.edge[i][v] : self.edge[i][v + 1]] for v in values])
-                got = got[~seen[got]]
+                value = np.uint8((code >> (i * width)) & ((1 << width) - 1))
+                if 10 * len(self.balls[d]) < 1 << width:
+                    got = np.concatenate([self.order[i][self.edge[i][v] : self.edge[i][v + 1]] for v in (value ^ self.balls[d]).tolist()])
+                    got = got[~seen[got]]
+                else:  # of so many buckets, reading the table's keys costs less than taking them out one by one
+                    got = np.flatnonzero((np.bitwise_count(value ^ self.keys[i]) == d) & ~seen).astype(np.int32)
                 seen[got] = True
-                visited = np.concatenate([visited, got])
-            fresh = visited[len(distance) :]
-            distance = np.concatenate([distance, np.bitwise_count(self.code[fresh] ^ np.uint64(code)).astype(np.int64)])
-            done = np.concatenate([done, np.zeros(len(fresh), bool)])
-            radius = min(PARTS * d + tables - 1, need) if len(visited) < n else need
-            pick = ~done & (distance <= radius)
+                fresh.append(got)
+            visited += sum(map(len, fresh))
+            waiting = np.concatenate([waiting, *fresh])
+            distance = np.concatenate([distance, np.bitwise_count(self.code[waiting[len(distance) :]] ^ np.uint64(code))])
+            radius = min(PARTS * d + tables - 1, need) if visited < n else need
+            pick = distance <= radius
             if pick.any():
-                done |= pick
-                scored, scores = np.concatenate([scored, visited[pick]]), np.concatenate([scores, score(visited[pick])])
+                scored, scores = np.concatenate([scored, waiting[pick]]), np.concatenate([scores, score(waiting[pick])])
+                waiting, distance = waiting[~pick], distance[~pick]
             if len(scored) >= k:
                 at = np.argpartition(-scores, k - 1)[:k]
                 share = np.arccos(np.clip(cosine(scored[at]).min(), -1.0, 1.0)) / np.pi
                 need = min(need, int(np.ceil(BITS * share + MARGIN * np.sqrt(BITS * share * (1 - share)))))
-            if len(visited) == n and (done | (distance > need)).all():
+            if visited == n and (distance > need).all():
                 break
-        return scored, scores, len(visited)
+        return scored, scores, visited
 
 
 def scorer(x: np.ndarray, vector: np.ndarray):
@@ -115,16 +122,23 @@ def scorer(x: np.ndarray, vector: np.ndarray):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles): rows with an id and a vector that is not null, not zero and all finite. Repeated rows count once."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v (floats as they are, else doubles): rows with an id and a vector that is not null, not zero and all finite. Repeated rows count once."""
+    kept = vectors.schema["embedding"].dataType.elementType.typeName() == "float"  # half the bytes to write and shuffle
+    v = F.col("embedding") if kept else F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(fine).dropDuplicates(["vec_id", "v"])
 
 
+def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """A column of vectors as rows of doubles, without an object for each."""
+    return np.concatenate([c.flatten().to_numpy().astype(np.float64) for c in column.chunks] or [np.zeros(0)]).reshape(-1, dims)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, ties to smaller vec_id.
 
     ``queries`` is (vec_id) of rows that ask. Only vectors of the table's commonest length take part (ties: the shorter).
+    A task gives one row for each query, with k + 1 ids and scores and no vector, so what it holds is bounded by a shard and a block.
     """
     good = spool(usable(vectors), "vectors")
     total = good.count()
@@ -138,38 +152,49 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     keyed = good.withColumn("key", F.xxhash64("v"))
     first = Window.partitionBy("key", "v").orderBy("vec_id")
     entries = spool(keyed.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    wanted = spool(asks.select(F.xxhash64("v").alias("key"), "v").distinct(), "queries")
+    wanted = spool(asks.select(F.xxhash64("v").alias("key"), "v").distinct().withColumn("ask", F.monotonically_increasing_id()), "queries")
     n, q = entries.count(), wanted.count()
-    shards = max(1, -(-n // SHARD))
+    fit = max(1, VECTOR_BYTES // (8 * max(dims, 1)))  # long vectors: fewer in a task
+    shards = max(1, -(-n // min(SHARD, fit)))
     tasks = max(1, min(-(-q // LEAST_BLOCK), vectors.sparkSession.sparkContext.defaultParallelism // shards))  # for small tables
-    blocks = max(tasks, -(-q // BLOCK))
+    blocks = max(tasks, -(-q // min(BLOCK, fit)))
     share = lambda key, parts: F.pmod(F.shiftrightunsigned(key, 17), F.lit(parts)).cast("int")
-    left = entries.withColumn("shard", share(F.col("key"), shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = wanted.withColumn("block", share(F.col("key"), blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left = entries.withColumn("shard", share(F.col("key"), shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "v", "ids")
+    right = wanted.withColumn("block", share(F.col("key"), blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "v", "ask")
 
-    def pair(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def pair(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found, ends = [(np.zeros(0, np.int64), np.zeros(0))], [0]
         if len(ours) and len(theirs):
-            x, y = np.array(ours["v"].tolist(), np.float64), np.array(theirs["v"].tolist(), np.float64)
-            index, ids = Index(codes(x, mean, projection)), ours["ids"].tolist()
+            x, y = matrix(ours["v"], dims), matrix(theirs["v"], dims)
+            index = Index(codes(x, mean, projection))
+            ids, upto = np.concatenate([c.flatten().to_numpy() for c in ours["ids"].chunks]), np.cumsum([0, *pc.list_value_length(ours["ids"]).to_pylist()])
             centred = x - mean
             centred /= np.maximum(np.sqrt((centred**2).sum(axis=1, keepdims=True)), 1e-300)
-            for key, vector, code in zip(theirs["key"], y, codes(y, mean, projection), strict=True):
-                away = vector - mean
-                away /= max(float(np.sqrt(away @ away)), 1e-300)
-                at, rough, _ = index.search(int(code), scorer(x, vector), lambda i: centred[i] @ away, k + 1)  # noqa: B023
+            away = y - mean
+            away /= np.maximum(np.sqrt((away**2).sum(axis=1, keepdims=True)), 1e-300)
+            for j, code in enumerate(codes(y, mean, projection).tolist()):
+                if j % TOGETHER == 0:
+                    products = y[j : j + TOGETHER] @ x.T
+                at, rough, _ = index.search(code, products[j % TOGETHER].__getitem__, lambda i: centred[i] @ away[j], k + 1)  # noqa: B023
                 if len(at) > 2 * k + 2:
                     at = at[rough >= np.partition(rough, -(k + 1))[-(k + 1)] - 1e-9 * max(1.0, float(np.abs(rough).max()))]
-                exact = (x[at] * vector).sum(axis=1)
-                best = sorted(((-s, i) for s, a in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[a]))[: k + 1]
-                out += [(key, vector.tolist(), i, -s) for s, i in best]
-        return pd.DataFrame(out, columns=["key", "v", "vec_id", "score"])
-
-    schema = "key long, v array<double>, vec_id long, score double"
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(pair, schema)
-    order = Window.partitionBy("key", "v").orderBy(F.desc("score"), "vec_id")
-    best = near.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list(F.struct("i", "vec_id", "score"))).alias("best"))
-    asked = asks.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")).join(best, ["key", "v"])
+                many = upto[at + 1] - upto[at]
+                exact = np.repeat((x[at] * y[j]).sum(axis=1), many)
+                named = ids[np.repeat(upto[at + 1] - np.cumsum(many), many) + np.arange(int(many.sum()))]
+                best = np.lexsort((named, -exact))[: k + 1]
+                found.append((named[best], exact[best]))
+                ends.append(ends[-1] + len(best))
+        vec_ids, scores = (np.concatenate(a) for a in zip(*found, strict=True))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(a)) for a in (vec_ids, scores)]
+        table = pa.table([theirs["ask"] if len(lists[0]) else pa.array([], pa.int64()), *lists], names=["ask", "vec_ids", "scores"])
+        release()
+        return table
+
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(pair, "ask long, vec_ids array<long>, scores array<double>")
+    each = near.select("ask", F.explode(F.arrays_zip("vec_ids", "scores")).alias("b")).select("ask", F.col("b.vec_ids").alias("vec_id"), F.col("b.scores").alias("score"))
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    best = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("i", "vec_id", "score"))).alias("best"))
+    asked = asks.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")).join(wanted, ["key", "v"]).select("query_id", "ask").join(best, "ask")
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     return asked.select("query_id", F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
 

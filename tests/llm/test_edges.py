@@ -295,3 +295,22 @@ def test_quality_measures(spark):
         kept = not any(rule(quality.Text(t)) for rule in quality.RULES.values())
         assert r.kept == kept
     assert [r.doc_id for r in quality.keep(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()] == [r.doc_id for r in rows if r.kept]
+
+
+def test_neighbour_tasks_send_no_vectors(spark):
+    """A result row of a task held a copy of its query's vector; long vectors and repeats stay exact without."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(120, 300)).astype(np.float32)
+    x[60:90] = x[5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = ann.search(df, df.where("vec_id % 20 = 0").select("vec_id"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    ran = [line for line in plan.splitlines() if "FlatMapCoGroupsIn" in line]
+    assert ran and all("vec_ids" in line and not line.split("[")[-1].startswith("v#") and ", v#" not in line.split("[")[-1] for line in ran)
+    y = x.astype(np.float64)
+    for q in range(0, 120, 20):
+        score = (y * y[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(120), -score))[:20].tolist()
+        mine = sorted((r.rank, r.vec_id, r.score) for r in found.collect() if r.query_id == q)
+        assert [v for _, v, _ in mine] == best and [s for _, _, s in mine] == score[best].tolist()
