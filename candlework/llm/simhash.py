@@ -14,10 +14,14 @@ small leaves, where full fingerprints are compared. No candidate is dropped: the
 Only distinct fingerprints take part, each with the smallest doc_id that has it, so exact copies cost
 nothing. A leaf yields a spanning forest of its links instead of all pairs; a shard that is too large is
 compared block against block. Links then meet in components().
+
+The pipeline's near-dedup (groups) asks for texts that are 0.8 similar, which 64 bits can't tell: it searches wide
+fingerprints of 512 bits in the same way, 32 parts with a vantage-point tree each, and judges what is near on the texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import batched
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm.common import parts, read, spool
+from candlework.llm.common import parts, read, release, spool
 from candlework.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -408,15 +412,20 @@ def drop_near_duplicates(docs: DataFrame, size: int = DROP_SHINGLE, least: float
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
-#: One permutation of a text's shingles in so many bins, a byte of the least in each: estimates a similarity with a standard
+#: Sketches (kept beside the fingerprints for their tests). One permutation of a text's shingles in so many bins, a byte of the least in each: estimates a similarity with a standard
 #: error of 0.013 at most. FOLD bins in a row are one in a first, coarser look, of 0.027.
 BINS, FOLD = 1024, 4
 #: How far below the similarity asked for these estimates may be: over three and a half standard errors.
 SKETCH_SLACK, COARSE_SLACK = 0.05, 0.1
-#: Likeliest partners in other groups that are judged for each text, round by round; the last judges all.
+#: Of groups: a fingerprint of so many words of 64 bits, in parts of 16 bits. Two texts that are 0.8 similar differ in a bit with
+#: probability 0.152; 3 in 100,000 such pairs are within WIDE_REACH bits on no part, and as many differ in over WIDE_RADIUS bits.
+WORDS, WIDE_REACH, WIDE_RADIUS = 8, 1, 110
+WIDE_PARTS = 4 * WORDS
+_STEPS = (np.arange(WORDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+#: Points that meet in a task.
+WIDE_SHARD = 1 << 16
+#: Nearest partners in other groups that are judged for each open text, round by round; the last judges all.
 ROUNDS = (2, 8, None)
-#: Members of a bucket that meet in a task, and rows of buckets in a task.
-BLOCK, TASK_ROWS = 2048, 4096
 
 
 def sketch(text: str | None, size: int = DROP_SHINGLE) -> bytes:
@@ -455,80 +464,126 @@ def _rows_of_texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
 
 
-def _banded(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, tag, high and low (a 128-bit hash of the words in a row), keys (of each band)."""
+def wide_fingerprint(text: str | None, size: int = DROP_SHINGLE) -> bytes:
+    """SimHash of WORDS x 64 bits over a text's distinct shingles: a bit is 1 if more than half of their hashes have it."""
+    found, ones = list(_shingle_set(text, size)), np.zeros(64 * WORDS, np.int64)
+    digest = xxhash.xxh3_64_digest
+    for i in range(0, len(found), _CHUNK):
+        h = np.frombuffer(b"".join([digest(s, SEED) for s in found[i : i + _CHUNK]]), np.uint64)[:, None] + _STEPS
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):  # as many fit into a byte
+            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found)).tobytes()
+
+
+def _printed(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, tag, high and low (a 128-bit hash of the words in a row), sig (the wide fingerprint)."""
 
     def run(batches):
         for batch in parts(batches):
             texts = batch.column("text").to_pylist()
             name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts), np.int64).reshape(-1, 2)
-            keys = []
-            for t in texts:
-                least = minhashes(t, size)
-                raw = b"" if least is None else least.tobytes()
-                keys.append([xxhash.xxh3_64_intdigest(raw[8 * BAND_ROWS * b : 8 * BAND_ROWS * (b + 1)], b) - (1 << 63) for b in range(BANDS if raw else 0)])
-            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "high", "low", "keys"])
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array([wide_fingerprint(t, size) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "high", "low", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, tag long, high long, low long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tag long, high long, low long, sig binary")
 
 
-def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """node, tag, sig."""
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
-    def run(batches):
-        for batch in parts(batches):
-            sigs = [sketch(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sigs, pa.binary())], names=["node", "tag", "sig"])
 
-    return texts.select("doc_id", "tag", "text").mapInArrow(run, "node long, tag long, sig binary")
+def partners(sig: np.ndarray, node: np.ndarray, root: np.ndarray, part: int, radius: int, most: int | None):
+    """Pairs (p, q) of points of different roots within ``radius`` bits and within WIDE_REACH of ``part``, and who has more.
 
+    A vantage-point tree over the part's bits leads to leaves, where points are compared. Of each point, most 0: the partner of
+    the smallest node only; else the ``most`` nearest (None: all), a pair only by the first part on which it agrees. Both ends of a pair
+    that is not returned for that number are open.
+    """
+    pieces = sig.view(np.uint16)
+    x, open_ = np.ascontiguousarray(pieces[:, part]), np.zeros(len(sig), bool)
+    out = [np.zeros((0, 2), np.int64)]
+    for at in leaves(x, WIDE_REACH, np.arange(len(x))):
+        mine, step = x[at], max(1, (1 << 20) // len(at))
+        for i in range(0, len(at), step):
+            rows = at[i : i + step]
+            p, q = np.nonzero(np.bitwise_count(x[rows][:, None] ^ mine[None, :]) <= WIDE_REACH)
+            p, q = rows[p], at[q]
+            other = root[p] != root[q]
+            p, q = p[other], q[other]
+            bits = np.concatenate([np.zeros(0, np.uint16), *(np.bitwise_count(sig[p[j : j + (1 << 16)]] ^ sig[q[j : j + (1 << 16)]]).sum(axis=1, dtype=np.uint16) for j in range(0, len(p), 1 << 16))])
+            good = np.flatnonzero(bits <= radius)
+            if most != 0:
+                good = np.concatenate([np.zeros(0, np.int64), *(g[(np.bitwise_count(pieces[p[g]] ^ pieces[q[g]]) <= WIDE_REACH).argmax(axis=1) == part] for g in (good[j : j + (1 << 16)] for j in range(0, len(good), 1 << 16)))])
+            p, q, bits = p[good], q[good], bits[good]
+            if most is not None:
+                order = np.lexsort((node[q] if most == 0 else bits, p))
+                p, q = p[order], q[order]
+                more = np.arange(len(p)) - np.searchsorted(p, p) >= max(most, 1)
+                open_[p[more]] = open_[q[more]] = True
+                p, q = p[~more], q[~more]
+            out.append(np.sort(np.stack([p, q], axis=1), axis=1))
+    return np.unique(np.concatenate(out), axis=0), np.flatnonzero(open_)
+
+
+def candidates(points: DataFrame, most: int | None, radius: int = WIDE_RADIUS, shard: int = WIDE_SHARD) -> DataFrame:
+    """(u, ut, v, vt): see ``partners``, over all parts; open points are rows (u, ut) without v. ``points`` has node, tag, root, sig.
+
+    The top of each part's vantage-point tree is grown on a bounded sample and routes every point to shards. A shard of too many
+    points is compared block against block.
+    """
+    total = points.count()
+    every = max(1, total // SAMPLE)
+    drawn = points.where(F.pmod(F.xxhash64("node", "tag"), F.lit(every)) == 0).select("sig").limit(2 * SAMPLE).collect()  # bounded; only shapes the trees
+    sample = np.frombuffer(b"".join(r.sig for r in drawn), np.uint16).reshape(-1, WIDE_PARTS)
+    leaf = max(8.0, len(sample) * shard / 2 / max(total, 1))
+    trees = [grow(np.ascontiguousarray(sample[:, k]), WIDE_REACH, leaf) for k in range(WIDE_PARTS)]
 
-def _open_pairs(members: DataFrame, least: float, most: int | None) -> DataFrame:
-    """(u, ut, v, vt): texts of one key in different groups that may be ``least`` similar by their sketches.
+    def routed(batch):
+        pieces = _signatures(batch.column("sig")).view(np.uint16)
+        for k in range(WIDE_PARTS):
+            for number, at in route(trees[k], pieces[:, k].astype(np.uint64), WIDE_REACH, np.arange(len(pieces))):
+                if len(at):
+                    yield k, str(number), at
 
-    ``members`` has key, band, node, tag, root, keys, sig and n (members of the key). Of each text the ``most`` likeliest. A pair is
-    made by the first band on which it agrees only; a key of many members is compared block against block.
-    """
-    cut = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, other = F.pmod(F.xxhash64("node", "tag"), cut).cast("int"), F.explode(F.sequence(F.lit(0), cut - 1))
-    cells = members.withColumn("own", own).withColumn("other", other).withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn("mixed", F.col("own") != F.col("other"))
-    slots = max(1, -(-members.count() // TASK_ROWS))
+    def count(batches):
+        sizes: Counter = Counter()
+        for batch in batches:
+            for k, number, at in routed(batch):
+                sizes[k, number] += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sizes], pa.int32()), pa.array([m for _, m in sizes], pa.string()), pa.array(list(sizes.values()), pa.int64())], names=["part", "leaf", "n"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "node", "tag"]).reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BINS)
-        rough, keys = folded(sig), np.array(pdf["keys"].tolist(), np.int64)
-        root, cell, block, band = (pdf[c].to_numpy(np.int64) for c in ("root", "cell", "own", "band"))
-        across = pd.Series(pdf["mixed"].to_numpy(bool)).groupby(cell).transform("any").to_numpy()  # a cell of two blocks has their pairs only
-        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(pdf)]
-        out = [np.zeros((0, 2), np.int64)]
-        for i, j in zip(edges, edges[1:], strict=False):
-            for k in range(i, j, 256):
-                rows = np.arange(k, min(k + 256, j))
-                like = estimates(rough[rows], rough[i:j])
-                like[root[rows][:, None] == root[None, i:j]] = -1
-                if across[i]:
-                    like[block[rows][:, None] == block[None, i:j]] = -1
-                a, b = np.nonzero(like >= least - COARSE_SLACK)
-                a, b = rows[a], i + b
-                for at in range(0, len(a), 1 << 15):
-                    p, q = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-                    close = estimate_pairs(sig[p], sig[q])
-                    good = (close >= least - SKETCH_SLACK) & ((keys[p] == keys[q]).argmax(axis=1) == band[i])
-                    p, q, close = p[good], q[good], close[good]
-                    if most:
-                        order = np.lexsort((-close, p))
-                        p, q = p[order], q[order]
-                        place = np.arange(len(p)) - np.searchsorted(p, p)
-                        p, q = p[place < most], q[place < most]
-                    out.append(np.sort(np.stack([p, q], axis=1), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        u, v = pdf.iloc[pairs[:, 0]], pdf.iloc[pairs[:, 1]]
-        return pd.DataFrame({"u": u["node"].to_numpy(), "ut": u["tag"].to_numpy(), "v": v["node"].to_numpy(), "vt": v["tag"].to_numpy()})
-
-    dealt = cells.withColumn("slot", F.pmod("cell", F.lit(slots))).select("slot", "cell", "mixed", "own", "band", "node", "tag", "root", "keys", "sig")
-    return dealt.groupBy("slot").applyInPandas(run, "u long, ut long, v long, vt long")
+    sizes = points.select("sig").mapInArrow(count, "part int, leaf string, n long").groupBy("part", "leaf").agg(F.sum("n").alias("n"))
+    cuts = {(r.part, r.leaf): -(-r.n // shard) for r in sizes.where(F.col("n") > shard).collect()}  # at most one row for each shard's worth of points
+
+    def deal(batches):
+        for batch in batches:
+            own = batch.column("node").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + batch.column("tag").to_numpy().view(np.uint64)
+            cells: dict[int, list[tuple[str, np.ndarray]]] = {k: [] for k in range(WIDE_PARTS)}
+            for k, number, at in routed(batch):
+                cut = cuts.get((k, number), 1)
+                block = (own[at] >> np.uint64(20)) % np.uint64(cut)
+                cells[k] += [(f"{number}/{a}/{b}", at[(block == a) | (block == b)]) for b in range(cut) for a in range(b + 1)]
+            for k, found in cells.items():
+                at = np.concatenate([a for _, a in found] or [np.zeros(0, np.int64)])
+                names = pa.array(np.repeat(np.array([c for c, _ in found], object), [len(a) for _, a in found]).tolist(), pa.string())
+                taken = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), names, *(taken.column(c) for c in ("node", "tag", "root", "sig"))], names=["part", "cell", "node", "tag", "root", "sig"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, tag, root = (table.column(c).to_numpy() for c in ("node", "tag", "root"))
+        pairs, more = partners(_signatures(table.column("sig")), node, root, table.column("part")[0].as_py(), radius, most)
+        none = pa.nulls(len(more), pa.int64())
+        u, v = pairs.T
+        columns = [pa.chunked_array([pa.array(a[i]), pa.array(a[more]) if end else none]) for i, end in ((u, True), (v, False)) for a in (node, tag)]
+        found = pa.table(columns, names=["u", "ut", "v", "vt"])
+        release()
+        return found
+
+    dealt = points.select("node", "tag", "root", "sig").mapInArrow(deal, "part int, cell string, node long, tag long, root long, sig binary")
+    return dealt.groupBy("part", "cell").applyInArrow(compare, "u long, ut long, v long, vt long").distinct()
 
 
 def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY) -> DataFrame:
@@ -536,22 +591,19 @@ def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILA
 
     Only doc_ids in a group with others have a row. Texts of the same words are one, with its smallest doc_id as its node; a
     doc_id on several texts joins them. Texts without words are equal. Rows without a doc_id take no part.
-    Pairs that agree on a band of minhashes are judged on their texts: first each with the smallest of its bucket, then,
-    where a bucket still has several groups, each with its likeliest partners in other groups, at last with all of
+    Wide fingerprints propose pairs, found by a vantage-point tree for each part, and texts judge them: first each with the
+    partner of the smallest doc_id, then those who have more partners, in other groups, with the nearest of them, at last with all of
     them. Pairs within a group are never made, so a large group of near-copies costs a few links for each text.
     """
     rows = _rows_of_texts(docs)
-    named = spool(_banded(rows, size), "banded")
-    classes = spool(named.groupBy("high", "low").agg(F.min(F.struct("doc_id", "tag", "keys")).alias("rep")), "classes")
+    named = spool(_printed(rows, size), "printed")
+    classes = spool(named.groupBy("high", "low").agg(F.min(F.struct("doc_id", "tag", "sig")).alias("rep")), "classes")
     members = named.select("doc_id", "high", "low").distinct().join(classes.select("high", "low", F.col("rep.doc_id").alias("node")), ["high", "low"])
     links = spool(members.where("doc_id != node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")), "copies")
-    every = classes.select(F.posexplode("rep.keys").alias("band", "key"), F.col("rep.doc_id").alias("node"), F.col("rep.tag").alias("tag"))
-    shared = every.groupBy("key").agg(F.min(F.struct("node", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = spool(every.join(shared, "key"), "buckets")
-    texts = spool(rows.join(buckets.select(F.col("node").alias("doc_id"), "tag").distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]), "texts")
-
-    keys = classes.select(F.col("rep.doc_id").alias("node"), F.col("rep.tag").alias("tag"), F.col("rep.keys").alias("keys"))
-    sketches = spool(_sketches(texts, size).join(keys, ["node", "tag"]), "sketches")
+    points = classes.select(F.col("rep.doc_id").alias("node"), F.col("rep.tag").alias("tag"), F.col("rep.sig").alias("sig"))
+    first = spool(candidates(points.withColumn("root", F.col("node")), 0), "candidates")
+    ends = first.select(F.col("u").alias("doc_id"), F.col("ut").alias("tag")).unionByName(first.where("v is not null").select(F.col("v").alias("doc_id"), F.col("vt").alias("tag")))
+    texts = spool(rows.join(ends.distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]), "texts")
 
     def judge(batches):
         for batch in parts(batches, "a"):
@@ -563,12 +615,15 @@ def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILA
         b = texts.select(F.col("doc_id").alias("v"), F.col("tag").alias("vt"), F.col("text").alias("b"))
         return spool(two.join(a, ["u", "ut"]).join(b, ["v", "vt"]).select("u", "v", "a", "b").mapInArrow(judge, "u long, v long").distinct(), "alike")
 
-    links = links.unionByName(judged(buckets.where("first.node != node or first.tag != tag").select(F.col("first.node").alias("u"), F.col("first.tag").alias("ut"), F.col("node").alias("v"), F.col("tag").alias("vt")).distinct()))
+    links = links.unionByName(judged(first.where("v is not null")))
+    found = first
     for most in ROUNDS:
-        state = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-        still = spool(state.join(several, "key", "left_semi").select("key", "band", "node", "tag", "root", "n").join(sketches, ["node", "tag"]), "open")
-        links = links.unionByName(judged(_open_pairs(still, least, most)))
+        more = found.where("v is null").select(F.col("u").alias("node"), F.col("ut").alias("tag"))
+        if more.isEmpty():
+            break
+        still = points.join(more, ["node", "tag"], "left_semi").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = spool(candidates(spool(still, "open"), most), "candidates")
+        links = links.unionByName(judged(found.where("v is not null")))
     return components(links)
 
 

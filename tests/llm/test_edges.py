@@ -314,3 +314,43 @@ def test_neighbour_tasks_send_no_vectors(spark):
         best = np.lexsort((np.arange(120), -score))[:20].tolist()
         mine = sorted((r.rank, r.vec_id, r.score) for r in found.collect() if r.query_id == q)
         assert [v for _, v, _ in mine] == best and [s for _, _, s in mine] == score[best].tolist()
+
+
+def test_near_dedup_searches_fingerprints_by_trees(spark, monkeypatch):
+    """Pairs come from vantage-point trees over SimHash parts: all that are near on a part, whoever else is there."""
+    draw = np.random.default_rng(7)
+    base = draw.integers(0, 256, (900, 8 * simhash.WORDS), np.uint8)
+    base[300:600] = base[:300] ^ np.packbits(draw.random((300, 64 * simhash.WORDS)) < 0.15, axis=1)
+    base[600:700] = base[0]
+    sig = base.view(np.uint64)
+    bits = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+    near = (np.bitwise_count(base.view(np.uint16)[:, None] ^ base.view(np.uint16)[None]) <= simhash.WIDE_REACH).any(axis=2) & (bits <= simhash.WIDE_RADIUS)
+    grown, grow = [], simhash.grow
+    monkeypatch.setattr(simhash, "grow", lambda *a: grown.append(1) or grow(*a))
+    points = spark.createDataFrame([(i, 5, i, bytes(r)) for i, r in enumerate(base)], "node long, tag long, root long, sig binary")
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    for shard in (64, 1 << 16):
+        got = simhash.candidates(points, None, shard=shard).collect()
+        assert {(min(r.u, r.v), max(r.u, r.v)) for r in got} == want and len(grown) >= simhash.WIDE_PARTS
+        grown.clear()
+    one = simhash.candidates(points, 0).collect()
+    missed = want - {(min(r.u, r.v), max(r.u, r.v)) for r in one if r.v is not None}
+    assert {i for pair in missed for i in pair} <= {r.u for r in one if r.v is None}
+    texts = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(63)), "x y z"]
+    kept = simhash.one_of_each(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2] and len(grown) >= simhash.WIDE_PARTS
+
+
+def test_wide_fingerprints_lose_few_similar_texts():
+    draw, total, lost = random.Random(3), 0, 0
+    for n in (12, 40, 400):
+        for _ in range(150):
+            base = [str(draw.randrange(10**6)) for _ in range(n)]
+            own = base[: n - max(1, n // 12)] + ["x"] * (n // 60) + ["y"]
+            a, b = " ".join(base), " ".join(own)
+            if simhash.similarity(a, b) < 0.8:
+                continue
+            p, q = (np.frombuffer(simhash.wide_fingerprint(t), np.uint16) for t in (a, b))
+            bits = np.bitwise_count(p ^ q)
+            total, lost = total + 1, lost + (bits.min() > simhash.WIDE_REACH or bits.sum() > simhash.WIDE_RADIUS)
+    assert total > 100 and lost == 0
