@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import batched
 
 import numpy as np
@@ -422,8 +422,11 @@ SKETCH_SLACK, COARSE_SLACK = 0.05, 0.1
 WORDS, WIDE_REACH, WIDE_RADIUS = 8, 1, 110
 WIDE_PARTS = 4 * WORDS
 _STEPS = (np.arange(WORDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-#: Points that meet in a task.
-WIDE_SHARD = 1 << 16
+#: Points that meet in a task (some 100 bytes each), and points times parts that are on their way to tasks at a time: as many parts
+#: as that allows are searched together, at least LEAST_PARTS.
+WIDE_SHARD, FLIGHT, LEAST_PARTS = 1 << 18, 1 << 21, 2
+#: Bins of a tally of shingles.
+TALLY = 256
 #: Nearest partners in other groups that are judged for each open text, round by round; the last judges all.
 ROUNDS = (2, 8, None)
 
@@ -495,12 +498,42 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def partners(sig: np.ndarray, node: np.ndarray, root: np.ndarray, part: int, radius: int, most: int | None):
+def tally(text: str | None, size: int = DROP_SHINGLE) -> bytes:
+    """How many of a text's distinct shingles fall into each of TALLY bins, a byte each; 255 all over if one has more than a byte holds."""
+    h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(s, SEED + 2) for s in _shingle_set(text, size)]), np.uint64)
+    counts = np.bincount((h % np.uint64(TALLY)).astype(np.int64), minlength=TALLY)
+    return (counts if counts.max() < 255 else np.full(TALLY, 255)).astype(np.uint8).tobytes()
+
+
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts of tallies ``a`` and ``b`` with ``n`` and ``m`` distinct shingles may be ``least`` similar, row by row.
+
+    They share at most the lesser count of each bin. The quotient is rounded as that of ``similarity``, so no pair is lost.
+    """
+    free = (a[:, 0] == 255) | (b[:, 0] == 255)
+    both = np.where(free, np.minimum(n, m), np.minimum(a, b).sum(axis=1, dtype=np.int64))
+    return both / np.maximum(n + m - both, 1) >= least
+
+
+def _tallied(still: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``still`` with tally and n, a text's tally and how many distinct shingles it has."""
+
+    def run(batches):
+        for batch in parts(batches):
+            found = [(tally(t, size), len(_shingle_set(t, size))) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([c for c, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "tag", "root", "sig")), *columns], names=["node", "tag", "root", "sig", "tally", "n"])
+
+    rows = still.join(texts.select(F.col("doc_id").alias("node"), "tag", "text"), ["node", "tag"])
+    return rows.select("node", "tag", "root", "sig", "text").mapInArrow(run, "node long, tag long, root long, sig binary, tally binary, n long")
+
+
+def partners(sig: np.ndarray, node: np.ndarray, root: np.ndarray, part: int, radius: int, most: int | None, may=None):
     """Pairs (p, q) of points of different roots within ``radius`` bits and within WIDE_REACH of ``part``, and who has more.
 
     A vantage-point tree over the part's bits leads to leaves, where points are compared. Of each point, most 0: the partner of
     the smallest node only; else the ``most`` nearest (None: all), a pair only by the first part on which it agrees. Both ends of a pair
-    that is not returned for that number are open.
+    that is not returned for that number are open. ``may(p, q)`` tells which pairs of points count at all.
     """
     pieces = sig.view(np.uint16)
     x, open_ = np.ascontiguousarray(pieces[:, part]), np.zeros(len(sig), bool)
@@ -515,6 +548,8 @@ def partners(sig: np.ndarray, node: np.ndarray, root: np.ndarray, part: int, rad
             p, q = p[other], q[other]
             bits = np.concatenate([np.zeros(0, np.uint16), *(np.bitwise_count(sig[p[j : j + (1 << 16)]] ^ sig[q[j : j + (1 << 16)]]).sum(axis=1, dtype=np.uint16) for j in range(0, len(p), 1 << 16))])
             good = np.flatnonzero(bits <= radius)
+            if may is not None:
+                good = good[may(p[good], q[good])]
             if most != 0:
                 good = np.concatenate([np.zeros(0, np.int64), *(g[(np.bitwise_count(pieces[p[g]] ^ pieces[q[g]]) <= WIDE_REACH).argmax(axis=1) == part] for g in (good[j : j + (1 << 16)] for j in range(0, len(good), 1 << 16)))])
             p, q, bits = p[good], q[good], bits[good]
@@ -528,22 +563,24 @@ def partners(sig: np.ndarray, node: np.ndarray, root: np.ndarray, part: int, rad
     return np.unique(np.concatenate(out), axis=0), np.flatnonzero(open_)
 
 
-def candidates(points: DataFrame, most: int | None, radius: int = WIDE_RADIUS, shard: int = WIDE_SHARD) -> DataFrame:
-    """(u, ut, v, vt): see ``partners``, over all parts; open points are rows (u, ut) without v. ``points`` has node, tag, root, sig.
+def candidates(points: DataFrame, most: int | None, radius: int = WIDE_RADIUS, shard: int = WIDE_SHARD, least: float = DROP_SIMILARITY, flight: int = FLIGHT) -> DataFrame:
+    """(u, ut, v, vt): see ``partners``, over all parts; open points are rows (u, ut) without v. ``points`` has node, tag, root, sig
+    and may have tally and n (see ``possible``).
 
     The top of each part's vantage-point tree is grown on a bounded sample and routes every point to shards. A shard of too many
-    points is compared block against block.
+    points is compared block against block. Parts are searched a few at a time, each time written, so that the points on their way
+    to the shards take disk for so many parts only.
     """
-    total = points.count()
+    total, carried = points.count(), [c for c in ("node", "tag", "root", "sig", "tally", "n") if c in points.columns]
     every = max(1, total // SAMPLE)
     drawn = points.where(F.pmod(F.xxhash64("node", "tag"), F.lit(every)) == 0).select("sig").limit(2 * SAMPLE).collect()  # bounded; only shapes the trees
     sample = np.frombuffer(b"".join(r.sig for r in drawn), np.uint16).reshape(-1, WIDE_PARTS)
     leaf = max(8.0, len(sample) * shard / 2 / max(total, 1))
     trees = [grow(np.ascontiguousarray(sample[:, k]), WIDE_REACH, leaf) for k in range(WIDE_PARTS)]
 
-    def routed(batch):
+    def routed(batch, some=range(WIDE_PARTS)):
         pieces = _signatures(batch.column("sig")).view(np.uint16)
-        for k in range(WIDE_PARTS):
+        for k in some:
             for number, at in route(trees[k], pieces[:, k].astype(np.uint64), WIDE_REACH, np.arange(len(pieces))):
                 if len(at):
                     yield k, str(number), at
@@ -558,23 +595,34 @@ def candidates(points: DataFrame, most: int | None, radius: int = WIDE_RADIUS, s
     sizes = points.select("sig").mapInArrow(count, "part int, leaf string, n long").groupBy("part", "leaf").agg(F.sum("n").alias("n"))
     cuts = {(r.part, r.leaf): -(-r.n // shard) for r in sizes.where(F.col("n") > shard).collect()}  # at most one row for each shard's worth of points
 
-    def deal(batches):
-        for batch in batches:
-            own = batch.column("node").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + batch.column("tag").to_numpy().view(np.uint64)
-            cells: dict[int, list[tuple[str, np.ndarray]]] = {k: [] for k in range(WIDE_PARTS)}
-            for k, number, at in routed(batch):
-                cut = cuts.get((k, number), 1)
-                block = (own[at] >> np.uint64(20)) % np.uint64(cut)
-                cells[k] += [(f"{number}/{a}/{b}", at[(block == a) | (block == b)]) for b in range(cut) for a in range(b + 1)]
-            for k, found in cells.items():
-                at = np.concatenate([a for _, a in found] or [np.zeros(0, np.int64)])
-                names = pa.array(np.repeat(np.array([c for c, _ in found], object), [len(a) for _, a in found]).tolist(), pa.string())
-                taken = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), names, *(taken.column(c) for c in ("node", "tag", "root", "sig"))], names=["part", "cell", "node", "tag", "root", "sig"])
+    def search(some: range) -> DataFrame:
+        def deal(batches):
+            for batch in batches:
+                own = batch.column("node").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + batch.column("tag").to_numpy().view(np.uint64)
+                cells: dict[int, list[tuple[str, np.ndarray]]] = {k: [] for k in some}
+                for k, number, at in routed(batch, some):
+                    cut = cuts.get((k, number), 1)
+                    block = (own[at] >> np.uint64(20)) % np.uint64(cut)
+                    cells[k] += [(f"{number}/{a}/{b}", at[(block == a) | (block == b)]) for b in range(cut) for a in range(b + 1)]
+                for k, found in cells.items():
+                    at = np.concatenate([a for _, a in found] or [np.zeros(0, np.int64)])
+                    names = pa.array(np.repeat(np.array([c for c, _ in found], object), [len(a) for _, a in found]).tolist(), pa.string())
+                    taken = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), names, *(taken.column(c) for c in carried)], names=["part", "cell", *carried])
+
+        dealt = points.select(carried).mapInArrow(deal, "part int, cell string, " + ", ".join(f"{c} {'binary' if c in ('sig', 'tally') else 'long'}" for c in carried))
+        return dealt.groupBy("part", "cell").applyInArrow(compare, "u long, ut long, v long, vt long").distinct()
 
     def compare(table: pa.Table) -> pa.Table:
         node, tag, root = (table.column(c).to_numpy() for c in ("node", "tag", "root"))
-        pairs, more = partners(_signatures(table.column("sig")), node, root, table.column("part")[0].as_py(), radius, most)
+        may = None
+        if "tally" in carried:
+            counts, n = np.frombuffer(b"".join(table.column("tally").to_pylist()), np.uint8).reshape(-1, TALLY), table.column("n").to_numpy()
+
+            def may(p, q):
+                return np.concatenate([np.zeros(0, bool), *(possible(counts[p[i : i + (1 << 12)]], counts[q[i : i + (1 << 12)]], n[p[i : i + (1 << 12)]], n[q[i : i + (1 << 12)]], least) for i in range(0, len(p), 1 << 12))])
+
+        pairs, more = partners(_signatures(table.column("sig")), node, root, table.column("part")[0].as_py(), radius, most, may)
         none = pa.nulls(len(more), pa.int64())
         u, v = pairs.T
         columns = [pa.chunked_array([pa.array(a[i]), pa.array(a[more]) if end else none]) for i, end in ((u, True), (v, False)) for a in (node, tag)]
@@ -582,8 +630,10 @@ def candidates(points: DataFrame, most: int | None, radius: int = WIDE_RADIUS, s
         release()
         return found
 
-    dealt = points.select("node", "tag", "root", "sig").mapInArrow(deal, "part int, cell string, node long, tag long, root long, sig binary")
-    return dealt.groupBy("part", "cell").applyInArrow(compare, "u long, ut long, v long, vt long").distinct()
+    step = min(WIDE_PARTS, max(LEAST_PARTS, flight // max(total, 1)))
+    if step == WIDE_PARTS:
+        return search(range(WIDE_PARTS))
+    return reduce(DataFrame.unionByName, [spool(search(range(k, min(k + step, WIDE_PARTS))), "found") for k in range(0, WIDE_PARTS, step)]).distinct()
 
 
 def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILARITY) -> DataFrame:
@@ -593,7 +643,8 @@ def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILA
     doc_id on several texts joins them. Texts without words are equal. Rows without a doc_id take no part.
     Wide fingerprints propose pairs, found by a vantage-point tree for each part, and texts judge them: first each with the
     partner of the smallest doc_id, then those who have more partners, in other groups, with the nearest of them, at last with all of
-    them. Pairs within a group are never made, so a large group of near-copies costs a few links for each text.
+    them. Pairs within a group are never made, nor those that ``possible`` rules out: tallies of
+    the shingles show that for nearly all that are not similar. So a large group of near-copies costs a few links for each text.
     """
     rows = _rows_of_texts(docs)
     named = spool(_printed(rows, size), "printed")
@@ -621,8 +672,8 @@ def groups(docs: DataFrame, size: int = DROP_SHINGLE, least: float = DROP_SIMILA
         more = found.where("v is null").select(F.col("u").alias("node"), F.col("ut").alias("tag"))
         if more.isEmpty():
             break
-        still = points.join(more, ["node", "tag"], "left_semi").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = spool(candidates(spool(still, "open"), most), "candidates")
+        still = spool(points.join(more, ["node", "tag"], "left_semi").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
+        found = spool(candidates(spool(_tallied(still, texts, size), "tallied"), most, least=least), "candidates")
         links = links.unionByName(judged(found.where("v is not null")))
     return components(links)
 

@@ -354,3 +354,64 @@ def test_wide_fingerprints_lose_few_similar_texts():
             bits = np.bitwise_count(p ^ q)
             total, lost = total + 1, lost + (bits.min() > simhash.WIDE_REACH or bits.sum() > simhash.WIDE_RADIUS)
     assert total > 100 and lost == 0
+
+
+def test_near_copies_below_the_limit_are_not_judged_pair_by_pair(spark, monkeypatch):
+    """A large group of near-copies, each with words of its own: few pairs are made, and those that are similar are linked."""
+    draw = random.Random(21)
+    base, texts = [f"w{draw.randrange(10**6)}" for _ in range(150)], []
+    for i in range(240):
+        own = base[:]
+        for k in draw.sample(range(150), 1 if i % 40 == 0 else 3):
+            own[k] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    made, spool = [], simhash.spool
+
+    def counted(df, name):
+        out = spool(df, name)
+        if name == "candidates":
+            made.append(out.where("v is not null").count())
+        return out
+
+    monkeypatch.setattr(simhash, "spool", counted)
+    kept = {r.doc_id for r in simhash.one_of_each(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert kept == brute_roots(texts) and 1 < len(kept) < 240
+    assert sum(made) < 30 * len(texts), made
+
+
+def test_tallies_rule_out_no_similar_pair():
+    draw, some, ruled = random.Random(8), 0, 0
+    pairs = [(" ".join(map(str, range(n))), " ".join(map(str, range(m)))) for n, m in ((8, 9), (84, 104), (804, 1004), (805, 1005), (3, 3), (0, 3))]
+    long = " ".join(map(str, range(80_000)))
+    pairs += [(long, long + " x y"), (long, " ".join(map(str, range(64_004)))), (long, "1 2 3 4 5 6")]
+    for n in (20, 150, 1500):
+        for _ in range(60):
+            base = [str(draw.randrange(10**6)) for _ in range(n)]
+            a, b = base[:], base[:]
+            for own in (a, b):
+                for k in draw.sample(range(n), draw.randrange(max(2, n // 30))):
+                    own[k] = "x" + str(draw.randrange(10**6))
+            pairs.append((" ".join(a), " ".join(b)))
+    for a, b in pairs:
+        x, y = (np.frombuffer(simhash.tally(t), np.uint8)[None] for t in (a, b))
+        n, m = (np.array([len(simhash._shingle_set(t, 5))]) for t in (a, b))
+        true, may = simhash.similarity(a, b) >= 0.8, bool(simhash.possible(x, y, n, m, 0.8)[0])
+        assert may or not true
+        some, ruled = some + true, ruled + (not may)
+    assert some > 20 and ruled > 20
+
+
+def test_parts_are_searched_a_few_at_a_time(spark, monkeypatch):
+    """The points on their way to tasks take disk for a few parts only; the pairs stay the same."""
+    draw = np.random.default_rng(17)
+    base = draw.integers(0, 256, (300, 8 * simhash.WORDS), np.uint8)
+    base[150:] = base[:150] ^ np.packbits(draw.random((150, 64 * simhash.WORDS)) < 0.15, axis=1)
+    points = spark.createDataFrame([(i, 5, i, bytes(r)) for i, r in enumerate(base)], "node long, tag long, root long, sig binary")
+    written, spool = [], simhash.spool
+    monkeypatch.setattr(simhash, "spool", lambda df, name: written.append(name) or spool(df, name))
+    for most in (0, None):
+        whole = simhash.candidates(points, most).collect()
+        assert not written
+        some = simhash.candidates(points, most, flight=8 * 300).collect()
+        assert written == ["found"] * 4 and set(some) == set(whole) and len(some) == len(whole) > 100
+        written.clear()
